@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, pfor
+from . import bpe, chat, pfor, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_quality_rules": rules.op3_quality_rules,
     "op5_token_files": pfor.op5_token_files,
     "op9_chat_format": chat.op9_chat_format,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_quality_rules": rules.OP3_SQL,
     "op9_chat_format": chat.OP9_SQL,
 }
