@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bytecnn, chat, pfor, rules
+from . import bpe, bytecnn, chat, mixing, pfor, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op3_quality_rules": rules.op3_quality_rules,
     "op5_token_files": pfor.op5_token_files,
     "op6_quality_classifier": bytecnn.op6_quality_classifier,
+    "op8_mixing": mixing.op8_mixing,
     "op9_chat_format": chat.op9_chat_format,
 }
 
