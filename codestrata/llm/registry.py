@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bytecnn, chat, mixing, pfor, rules
+from . import bpe, bytecnn, chat, mixing, pfor, rules, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_threshold_topk": topk.op2_threshold_topk,
     "op3_quality_rules": rules.op3_quality_rules,
     "op5_token_files": pfor.op5_token_files,
     "op6_quality_classifier": bytecnn.op6_quality_classifier,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_threshold_topk": topk.OP2_SQL,
     "op3_quality_rules": rules.OP3_SQL,
     "op9_chat_format": chat.OP9_SQL,
 }
