@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bytecnn, chat, mixing, pfor, rules, topk
+from . import bpe, bytecnn, chat, mixing, pages, pfor, rules, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_classifier": bytecnn.op6_quality_classifier,
     "op8_mixing": mixing.op8_mixing,
     "op9_chat_format": chat.op9_chat_format,
+    "op10_main_text": pages.op10_main_text,
 }
 
 ORACLES: dict[str, str] = {
