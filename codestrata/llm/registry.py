@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bytecnn, chat, mixing, pages, pfor, rules, topk
+from . import bpe, bytecnn, chat, mixing, pages, passages, pfor, rules, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op2_threshold_topk": topk.op2_threshold_topk,
     "op3_quality_rules": rules.op3_quality_rules,
+    "op4_substring_dedup": passages.op4_substring_dedup,
     "op5_token_files": pfor.op5_token_files,
     "op6_quality_classifier": bytecnn.op6_quality_classifier,
     "op8_mixing": mixing.op8_mixing,
@@ -22,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_threshold_topk": topk.OP2_SQL,
     "op3_quality_rules": rules.OP3_SQL,
+    "op4_substring_dedup": passages.OP4_SQL,
     "op9_chat_format": chat.OP9_SQL,
 }
