@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bytecnn, chat, mixing, pages, passages, pfor, rules, topk
+from . import bpe, bytecnn, chat, jaccard, mixing, pages, passages, pfor, rules, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": passages.op4_substring_dedup,
     "op5_token_files": pfor.op5_token_files,
     "op6_quality_classifier": bytecnn.op6_quality_classifier,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_mixing": mixing.op8_mixing,
     "op9_chat_format": chat.op9_chat_format,
     "op10_main_text": pages.op10_main_text,
@@ -24,5 +25,6 @@ ORACLES: dict[str, str] = {
     "op2_threshold_topk": topk.OP2_SQL,
     "op3_quality_rules": rules.OP3_SQL,
     "op4_substring_dedup": passages.OP4_SQL,
+    "op7_jaccard_join": jaccard.OP7_SQL,
     "op9_chat_format": chat.OP9_SQL,
 }
