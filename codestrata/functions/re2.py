@@ -102,6 +102,9 @@ class _Translator:
             return f"[^{SPACE}]"
         if c == "v":
             return r"\x0B"
+        if c in "bB" and not in_class:  # on ASCII words, whatever Java's release makes of it
+            after, other = ("!", "=") if c == "b" else ("=", "!")
+            return rf"(?:(?<=\w)(?{after}\w)|(?<!\w)(?{other}\w))"
         if c in "pP":
             return self.property(c)
         if c == "x":
