@@ -35,6 +35,8 @@ CHUNK = 128
 #: The most labelled rows of label 0 that training reads, and of label 1 three times as many.
 SAMPLE_ROWS = 500
 EPOCHS = 12
+#: A small sample is gone through more often, until so many steps are made.
+LEAST_STEPS = 400
 THRESHOLD = 0.3
 #: Bytes that are scored at a time.
 SLICE = 1 << 19
@@ -142,7 +144,7 @@ def predict(model: Model | float, texts: list[bytes], tables: list[np.ndarray] |
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model | float:
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, least_steps: int = LEAST_STEPS, seed: int = 7) -> Model | float:
     """Fit the network."""
     labels = np.asarray(labels, float)
     if len(labels) == 0 or labels.min() == labels.max():
@@ -151,10 +153,12 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     names = ("embed", "filters", "bias", "weight", "offset")
     first = {k: np.zeros_like(np.asarray(getattr(model, k), float)) for k in names}
     second = {k: np.zeros_like(v) for k, v in first.items()}
-    step, steps = 0, epochs * max(1, len(texts) // 32)
+    batches = max(1, len(texts) // 32)
+    epochs = max(epochs, -(-least_steps // batches))
+    step, steps = 0, epochs * batches
     for _ in range(epochs):
         order = r.permutation(len(texts))
-        for part in np.array_split(order, max(1, len(texts) // 32)):
+        for part in np.array_split(order, batches):
             step += 1
             rate = 0.02 * max(0.02, 1 - step / steps)
             grads = _gradients(model, [texts[i] for i in part], labels[part])
