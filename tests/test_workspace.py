@@ -178,3 +178,12 @@ def test_columns_count_bytes():
     p = parse('package x\nvar é, b = 1, f("ü", g())\n'.encode())
     assert [r[:2] for r in p.variables] == [(2, 5), (2, 9)] and [r[:2] for r in p.calls] == [(2, 16), (2, 24)]
     assert parse(b"package x\nvar a = \"open\n").error[0] == "2:9"
+
+
+def test_reports(spark, tmp_path):
+    from codestrata.report import cache_report, load_report
+
+    said = []
+    load_report(spark, lay(tmp_path / "m"), said.append)
+    assert any("packages 3, files 3" in s for s in said)
+    assert set(cache_report(spark, str(tmp_path / "m"), str(tmp_path / "c"), said.append)) == {"cold", "warm"}
