@@ -158,7 +158,8 @@ def slots(spark: SparkSession, plan: Plan) -> DataFrame:
                 yield shard_slots(plan, int(shard))
 
     n = plan.shards
-    return spark.range(0, n, 1, max(1, min(n, 4 * partitions(spark)))).mapInPandas(rows_of, SLOTS)
+    # the planner takes these for as few rows as there are shards; the hint keeps it from broadcasting them
+    return spark.range(0, n, 1, max(1, min(n, 4 * partitions(spark)))).mapInPandas(rows_of, SLOTS).hint("merge")
 
 
 def layout(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, Plan]:
@@ -246,8 +247,8 @@ def taken(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, size, its source's size and target, and the words that the mix takes of it."""
     spark = docs.sparkSession
     rows, plan = layout(sized(docs))
-    times = slots(spark, plan).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-    of_row = times.join(overlaps(rows, plan), ["source_no", "block"]).groupBy("row").agg(F.sum(F.col("times") * (F.col("hi") - F.col("lo"))).alias("taken"))
+    times = slots(spark, plan).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
+    of_row = times.join(overlaps(rows, plan), ["source_no", "block"]).groupBy("row").agg(F.sum(F.col("times") * (F.col("hi") - F.col("lo"))).alias("taken")).hint("merge")
     found = rows.select("row", "doc_id", "source", "size").join(of_row, "row", "left")
     sources = per_source(spark, plan)
     joined = found.join(sources, found["source"].eqNullSafe(sources["source"]))
@@ -268,8 +269,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     others = [c for c in docs.columns if c not in ("doc_id", "source")]
     rows, plan = layout(sized(docs, *others), tuple(others))
-    spans = slots(spark, plan).select("source_no", "block", "turn").join(overlaps(rows, plan), ["source_no", "block"])
-    spans = spans.groupBy("row", "turn").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    spans = slots(spark, plan).select("source_no", "block", "turn").hint("merge").join(overlaps(rows, plan), ["source_no", "block"])
+    spans = spans.groupBy("row", "turn").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans")).hint("merge")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
