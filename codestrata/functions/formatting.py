@@ -58,6 +58,11 @@ def join_refs(texts: Iterable[str], separator: str = "\n") -> str:
     return separator.join(texts)
 
 
+def joined(refs: DataFrame, separator: str) -> str:
+    """All refs of a result, formatted by default, between separators and without bullets."""
+    return separator.join(r["text"] for r in refs.select("ord", format_ref().alias("text")).orderBy("ord").collect())
+
+
 def format_refs(refs: DataFrame, options: RefFormat = DEFAULT) -> str:
     """All refs of a result, in their order, as one string. For results that are meant to be read."""
     rows = refs.select("ord", format_ref(options).alias("text")).orderBy("ord").collect()

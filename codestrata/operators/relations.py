@@ -63,6 +63,10 @@ class Relation:
             made.append(row)
         return cls(spark.createDataFrame(made, SCHEMAS[cls.name]))
 
+    def plus(self, other: Self) -> Self:
+        """The rows of both, duplicates included."""
+        return type(self)(self.frame.unionByName(other.frame))
+
     def where(self, condition: Column) -> Self:
         return type(self)(self.frame.where(condition))
 
@@ -139,6 +143,13 @@ def name_test(test: Callable[[Any], Any]) -> Column:
     return made if isinstance(made, Column) else F.udf(lambda n: bool(test(n)), "boolean")(F.col("name"))
 
 
+def attached(frame: DataFrame, key: str, dependencies: Dependencies, by: str) -> DataFrame:
+    """frame with a column imports: the import paths, in order, of the dependencies whose column by equals key."""
+    held = dependencies.frame.groupBy(F.col(by).alias("of")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "import_path"))), lambda x: x["import_path"]).alias("imports"))
+    joined = frame.join(held, F.col(key) == F.col("of"), "left").drop("of")
+    return joined.withColumn("imports", F.coalesce("imports", F.array().cast("array<string>")))
+
+
 class Packages(Relation):
     name = "packages"
     package_column = "id"
@@ -156,6 +167,10 @@ class Packages(Relation):
         })
         return placed.select(*REF_COLUMNS)
 
+    def with_dependencies(self, dependencies: Dependencies) -> DataFrame:
+        """Each package with its dependencies' import paths in order; they meet by package id."""
+        return attached(self.frame, "id", dependencies, "package_id")
+
     def group_by(self, key: Callable[[SimpleNamespace], Column]) -> DataFrame:
         """key and its package ids in order; rows whose key is empty are left out."""
         made = key(columns_of(self.frame))
@@ -194,9 +209,7 @@ class Files(Relation):
 
     def with_dependencies(self, dependencies: Dependencies) -> DataFrame:
         """Each file with its dependencies' import paths in order; they meet by file name alone."""
-        held = dependencies.frame.groupBy("filename").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "import_path"))), lambda x: x["import_path"]).alias("imports"))
-        joined = self.frame.join(held.withColumnRenamed("filename", "of"), F.col("file_filename") == F.col("of"), "left").drop("of")
-        return joined.withColumn("imports", F.coalesce("imports", F.array().cast("array<string>")))
+        return attached(self.frame, "file_filename", dependencies, "filename")
 
 
 class Types(Named):

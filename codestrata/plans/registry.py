@@ -155,6 +155,15 @@ def _attached(spark: SparkSession, sf: str) -> DataFrame:
 
 _add("files_with_dependencies", _attached, _with("dependencies", "SELECT f.package_id, file_filename, count(d.ord) AS n, coalesce(string_agg(import_path, ',' ORDER BY import_path), '') AS imports FROM files f LEFT JOIN dependencies d ON d.filename = file_filename GROUP BY 1, 2"))
 
+
+
+def _attached_packages(spark: SparkSession, sf: str) -> DataFrame:
+    ws = virtual.workspace(spark, sf)
+    return ws.packages.with_dependencies(ws.dependencies).select("id", F.size("imports").cast("long").alias("n"), F.array_join(F.array_distinct(F.array_sort("imports")), ",").alias("imports"))
+
+
+_add("packages_with_dependencies", _attached_packages, _with("dependencies", "SELECT id, count(d.ord) AS n, coalesce(string_agg(DISTINCT import_path, ',' ORDER BY import_path), '') AS imports FROM packages p LEFT JOIN dependencies d ON d.package_id = id GROUP BY 1"))
+
 #: The graph is thinned out: whole, it is so dense that everything reaches everything.
 THIN = "event_type = 'error' AND ord % 20 = 0"
 GRAPH = f"{virtual.DUCK_IMPORTS}, edges AS (SELECT DISTINCT package_id AS src, import_path AS dst FROM dependencies WHERE within_workspace AND {THIN})"

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codestrata.functions.formatting import format_refs, joined
 from codestrata.operators.graph import PackageGraph
 from codestrata.operators.relations import Dependencies, Files, FunctionCalls, Functions, Packages, Types, Variables
 from codestrata.operators.tree import tree
@@ -121,3 +122,13 @@ def test_graph(spark, small):
     assert g.transitively_reaches(["r"], ["d"]) and not g.transitively_reaches(["d"], ["r"])
     assert g.directly_reaches(["r"], ["a"]) and not g.directly_reaches(["r"], ["d"])
     assert ids(g.importers("d")) == ["a", "i"] and ids(g.importers("r/...")) == ["r/x"] and ids(g.importers("r/x")) == []
+
+
+def test_rows_are_appended_and_attached(spark):
+    p = Packages.of(spark, [{"id": "a"}]).plus(Packages.of(spark, [{"id": "a"}, {"id": "b"}]))
+    assert p.len() == 3
+    d = Dependencies.of(spark, [dep("a", "y"), dep("a", "x")])
+    assert sorted((r["id"], r["imports"]) for r in p.with_dependencies(d).collect()) == [("a", ["y", "x"]), ("a", ["y", "x"]), ("b", [])]
+    refs = d.refs()
+    assert joined(refs, "\n") == "main.go:1:1 dependency y\nmain.go:1:1 dependency x" and joined(refs.where("false"), ",") == ""
+    assert format_refs(refs) == "* main.go:1:1 dependency y\n* main.go:1:1 dependency x" and format_refs(refs.where("false")) == ""
