@@ -39,7 +39,7 @@ EPOCHS = 12
 LEAST_STEPS = 400
 THRESHOLD = 0.3
 #: Bytes that are scored at a time.
-SLICE = 1 << 19
+SLICE = 1 << 17
 
 
 def _chunk_starts(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,8 +12,19 @@ OWN_SCRATCH = "spark.codestrata.scratch"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: What a batch to Python holds at most where the session says nothing: a worker keeps several copies of a batch.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "4096"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for key, value in SMALL_BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; only Spark's reader touches the path, so any file system works."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +42,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and survives the loss of executors."""
+    small_batches(df.sparkSession)
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -37,10 +37,10 @@ from . import shingles
 from .common import non_null_text, partitions, saved, table
 
 PERCENT = 80
-#: Bits of each of the three filters: 8 MB.
-CELLS = 26
-LEVELS = (2, 16, 256)
+#: How many documents make a shingle frequent, and the bits of the filter that says so: 8, 2 and 1 MB.
+LEVELS = {2: 26, 16: 24, 256: 23}
 BLOCK = 4096
+ROWS = 1024
 POPULAR = 0.5
 
 
@@ -57,11 +57,18 @@ def _texts(batch: pd.DataFrame) -> list[bytes]:
     return [t.encode("utf-8", "replace") for t in batch["text"]]
 
 
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches cut into parts of ROWS rows, so that few texts and shingles are held at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.iloc[at : at + ROWS]
+
+
 def set_table(rows: DataFrame) -> DataFrame:
     """doc_id, n, sid of each document. rows: doc_id, text."""
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _parts(batches):
             n, sid = [], []
             for s in shingles.sets(_texts(batch)):
                 n.append(len(s))
@@ -78,7 +85,7 @@ def frequency_filters(rows: DataFrame) -> list[np.ndarray]:
         buckets += 1
 
     def payloads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _parts(batches):
             found = [s for s in shingles.sets(_texts(batch)) if len(s)]
             if not found:
                 continue
@@ -88,28 +95,29 @@ def frequency_filters(rows: DataFrame) -> list[np.ndarray]:
             at = np.flatnonzero(np.diff(edges))
             yield pd.DataFrame({"bucket": at.astype(np.int32), "payload": [below[edges[k] : edges[k + 1]].tobytes() for k in at]})
 
-    def cells(batch: pd.DataFrame) -> pd.DataFrame:
+    def counted(batch: pd.DataFrame) -> pd.DataFrame:
         every = np.sort(np.concatenate([np.frombuffer(p, np.uint32) for p in batch["payload"]]))
         first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
         count = np.diff(np.concatenate([first, [len(every)]]))
         out = {"bucket": [int(batch["bucket"].iloc[0])]}
-        for level in LEVELS:
-            bits = np.zeros(1 << (CELLS - buckets), bool)
-            bits[every[first[count >= level]] >> np.uint32(32 - (CELLS - buckets))] = True
+        for level, cells in LEVELS.items():
+            bits = np.zeros(1 << (cells - buckets), bool)
+            bits[every[first[count >= level]] >> np.uint32(32 - (cells - buckets))] = True
             out[f"f{level}"] = [np.packbits(bits, bitorder="little").tobytes()]
         return pd.DataFrame(out)
 
     schema = ", ".join(["bucket int", *(f"f{level} binary" for level in LEVELS)])
-    made = rows.select("text").mapInPandas(payloads, "bucket int, payload binary").groupBy("bucket").applyInPandas(cells, schema)
-    filters = [np.zeros(1 << (CELLS - 3), np.uint8) for _ in LEVELS]
-    width = len(filters[0]) >> buckets
+    made = rows.select("text").mapInPandas(payloads, "bucket int, payload binary").groupBy("bucket").applyInPandas(counted, schema)
+    filters = [np.zeros(1 << (cells - 3), np.uint8) for cells in LEVELS.values()]
     for row in made.toLocalIterator():
         for f, level in zip(filters, LEVELS):
+            width = len(f) >> buckets
             f[row["bucket"] * width : (row["bucket"] + 1) * width] = np.frombuffer(row[f"f{level}"], np.uint8)
     return filters
 
 
-def _in(cell: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def _in(shingle: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    cell = shingle >> np.uint64(62 - (8 * len(bits)).bit_length() + 1)
     return (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -120,19 +128,18 @@ def active_sets(rows: DataFrame, filters: list[np.ndarray]) -> DataFrame:
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         two, *higher = shared.value
-        for batch in batches:
+        for batch in _parts(batches):
             found: dict[bytes, tuple] = {}
             for s in shingles.sets(_texts(batch)):
                 n = len(s)
                 if not n:
                     continue
-                cell = s >> np.uint64(62 - CELLS)
-                level = _in(cell, two).astype(np.uint8)
+                level = _in(s, two).astype(np.uint8)
                 n0 = n - int(level.sum())
                 if n0 >= prefix_length(n):
                     continue
                 for bits in higher:
-                    level += _in(cell, bits)
+                    level += _in(s, bits)
                 ordered = s[np.argsort(level, kind="stable")]  # ascending by hash within a level
                 found[shingles.set_id(s)] = (n, n0, ordered.astype("<u8").tobytes())
             if found:
@@ -324,14 +331,19 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     edges = pairs.join(ends("a"), "a").join(ends("b"), "b").select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
     component = connected(edges.where("u IS NOT NULL AND v IS NOT NULL"))
     labelled = nodes.join(component, "node", "left").select("sid", F.coalesce("component", "node").alias("class"))
-    found = sets.join(labelled, "sid", "left")
+    # written first, so that the join's sides are plain exchanges, whose large partitions Spark can split
+    found = sets.join(saved(labelled, "classes"), "sid", "left")
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without those that link to a document of smaller doc_id in their class; one of each class stays."""
-    first = classes(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """docs without those that link to a document of smaller doc_id in their class: one of each class stays.
+
+    Of repeated rows one stays; rows without doc_id, which no decision can name, all stay.
+    """
+    first = classes(docs).where("doc_id = component_id").select("doc_id").distinct()
+    known = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

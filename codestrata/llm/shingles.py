@@ -14,7 +14,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes hashed at a time.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 _RANDOM = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)

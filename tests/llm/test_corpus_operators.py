@@ -130,7 +130,7 @@ def test_classes_equal_brute_force(spark, monkeypatch, seed, block):
 
 def test_full_filters_change_nothing(spark, monkeypatch):
     """With so few cells that most shingles seem frequent, the order is another one and the classes are the same."""
-    monkeypatch.setattr(jaccard, "CELLS", 11)
+    monkeypatch.setattr(jaccard, "LEVELS", {2: 11, 16: 12, 256: 11})
     rows = near_copies(4, 150)
     assert sorted(tuple(r) for r in jaccard.classes(docs_frame(spark, rows)).collect()) == brute_classes(rows)
 
@@ -143,6 +143,7 @@ def test_classes_of_edge_cases(spark):
     kept = jaccard.keep_first(docs_frame(spark, rows))
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 3, 4, 5, 7, 8, 10, 13] and kept.columns == docs_frame(spark, []).columns
     assert jaccard.classes(docs_frame(spark, [])).count() == 0
+    assert jaccard.keep_first(docs_frame(spark, [(None, "a b c d e f"), (None, "g h"), (1, "x")])).count() == 3
 
 
 def test_connected(spark):
