@@ -22,6 +22,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ from .common import table
 VOCABULARY = "byte_bpe_50k.json"
 #: The pre-tokeniser's pattern, a fixed value of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 #: Fragments remembered, in each of two generations.
 REMEMBERED = 1 << 18
 LONGEST_REMEMBERED = 48
@@ -78,6 +79,7 @@ class ForcedBoundaryBPE:
         for content, i in self.special.items():
             self.tokens[i] = content.encode()
         self.decimal = [str(i) for i in range(size)]
+        self._id = list(range(size))  # one object for each id, however many fragments hold it
         self.pattern = regex.compile(PATTERN)
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cuts = self._certain_cuts()
@@ -127,10 +129,10 @@ class ForcedBoundaryBPE:
 
     def fragment(self, fragment: bytes) -> tuple[int, ...]:
         """Ids of a stretch between two certain cuts."""
-        found = self._older.get(fragment)
+        found = self._known.get(fragment) or self._older.get(fragment)
         if found is None:
             if self._ranked is not None and len(fragment) <= 1024:
-                found = tuple(self._ranked.encode_ordinary(fragment.decode()))
+                found = tuple(map(self._id.__getitem__, self._ranked.encode_ordinary(fragment.decode())))
             else:
                 found = tuple(i for piece in self.pattern.findall(fragment.decode()) for i in self.merge(piece.encode()))
         if len(fragment) <= LONGEST_REMEMBERED:
@@ -160,8 +162,10 @@ class ForcedBoundaryBPE:
                     break
                 end += WINDOW
             frags = self.fragments(text[start:end])
-            for frag, ids in zip(frags, map(self._known.get, frags)):
-                out += self.fragment(frag) if ids is None else ids
+            found = list(map(self._known.get, frags))
+            if None in found:
+                found = [self.fragment(frag) if ids is None else ids for frag, ids in zip(frags, found)]
+            out.extend(chain.from_iterable(found))
             start = end
         return out
 
