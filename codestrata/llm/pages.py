@@ -223,6 +223,7 @@ def noisy_nodes(pages: DataFrame, least: float = LEAST, pages_least: int = PAGES
     shape = each.groupBy("host", "path", "kind").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("s"))
     own = F.when(F.col("total") < 2, 1.0).otherwise((F.log("total") - F.col("s") / F.col("total")) / F.log("total"))
     nodes = shape.groupBy("host", "path").agg(F.max(F.when(F.col("kind") == "n", F.col("total"))).alias("pages"), F.max(F.when(F.col("kind") != "n", own)).alias("importance"))
+    nodes = saved(nodes, "style-nodes")  # read twice below
     # a branch is as important as its best node: every node lifts its ancestors
     parts = F.split("path", "/")
     above = nodes.select("host", F.posexplode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("k", "path"), "importance")
