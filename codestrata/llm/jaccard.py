@@ -134,12 +134,13 @@ def active_sets(rows: DataFrame, filters: list[np.ndarray]) -> DataFrame:
                 n = len(s)
                 if not n:
                     continue
-                level = _in(s, two).astype(np.uint8)
-                n0 = n - int(level.sum())
+                shared_by_two = _in(s, two)
+                n0 = n - int(shared_by_two.sum())
                 if n0 >= prefix_length(n):
                     continue
-                for bits in higher:
-                    level += _in(s, bits)
+                level = shared_by_two.astype(np.uint8)
+                for bits in higher:  # their cells are wider: they tell nothing of shingles that are in one set only
+                    level += shared_by_two & _in(s, bits)
                 ordered = s[np.argsort(level, kind="stable")]  # ascending by hash within a level
                 found[shingles.set_id(s)] = (n, n0, ordered.astype("<u8").tobytes())
             if found:

@@ -135,6 +135,24 @@ def test_full_filters_change_nothing(spark, monkeypatch):
     assert sorted(tuple(r) for r in jaccard.classes(docs_frame(spark, rows)).collect()) == brute_classes(rows)
 
 
+def test_wide_cells_of_frequent_shingles_keep_the_unshared_ones_first(spark):
+    texts = [" ".join(f"w{k}x{i}" for i in range(64)) for k in range(40)]
+    rows = docs_frame(spark, list(enumerate(texts)))
+    own = [s for s in shingles.sets([t.encode() for t in texts]) if len(s)]
+    two = np.zeros(1 << 17, np.uint8)
+    higher = [np.full(1 << 6, 0x55, np.uint8), np.full(1 << 5, 0x33, np.uint8)]  # half of the wide cells hold a frequent shingle
+    kept = {int(x) for s in own for k, x in enumerate(s) if k % 10}
+    for x in kept:
+        cell = x >> 42
+        two[cell >> 3] |= 1 << (cell & 7)
+    found = jaccard.active_sets(rows.select("doc_id", "text"), [two, *higher]).collect()
+    assert len(found) == len({shingles.set_id(s) for s in own})
+    for r in found:
+        tokens = np.frombuffer(r["tokens"], "<u8")
+        shared = jaccard._in(tokens, two)
+        assert not shared[: r["n0"]].any() and shared[r["n0"] :].all()
+
+
 def test_classes_of_edge_cases(spark):
     long = " ".join(f"x{k}" for k in range(30000))
     rows = [(5, None), (4, ""), (3, " \n"), (9, "a b"), (8, "A  b"), (7, "a b c"), (11, long), (10, long + " y"), (12, long), (12, long), (None, "q r s t u v"), (13, "q r s t u v")]
