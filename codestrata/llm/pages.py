@@ -11,7 +11,9 @@ Entropy alone can't tell an advert that changes on every page from an article, n
 article from its menu. So nodes whose tag, role, class or id names what the contract excludes (menus, page
 headers, footers, side bars, notices, adverts, forms, scripts, styles, reader comments) have importance 0,
 whatever their entropy, and an element marked as the article (or the page's main part) is kept, apart from
-such branches in it. Where a page has a marked article, only marked articles are read.
+such branches in it. Names never make html, body or main noise, nor, where every marked article of a page is
+below or in such a name or a form, those with the fewest. Where a page has a marked article, only marked
+articles are read.
 
 The counts behind an entropy are grouped by (host, node, digest), so a host with any share of the pages is
 spread over all tasks; what comes back to the pages is the list of each host's noisy nodes, which grows
@@ -63,6 +65,8 @@ NOISE_NAMES = frozenset(
     "share sharing social related recommended recommendations masthead topbar copyright".split()
 )
 KEEP_TAGS = frozenset(("article", "main"))
+#: What no name makes noise.
+WHOLE = frozenset(("html", "body", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -83,24 +87,64 @@ class Node:
     path: str
     depth: int
     noise: bool = False
-    kept: bool = False
+    #: Noise by its names alone, or a form.
+    soft: bool = False
     children: list[Node | str] = field(default_factory=list)
 
 
-def _labels(tag: str, rest: str) -> tuple[str, bool]:
-    """The node's part of a path, and whether its names say that it is noise."""
+def _labels(tag: str, rest: str) -> tuple[str, bool, bool]:
+    """The node's part of a path, whether its tag or role says that it is noise, and whether its names do."""
     if "=" not in rest:
-        return tag, tag in NOISE_TAGS
-    names, noise = [], tag in NOISE_TAGS
+        return tag, tag in NOISE_TAGS, False
+    names, noise, named = [], tag in NOISE_TAGS, False
     for key, a, b, c in ATTRIBUTE.findall(rest):
         value = a or b or c
         if key.lower() == "role":
             noise |= value.strip().lower() in NOISE_ROLES
             continue
         words = {w.lower() for w in NAME_PARTS.findall(value)}
-        noise |= bool(words & NOISE_NAMES)
+        named |= tag not in WHOLE and bool(words & NOISE_NAMES)
         names.append(re.sub(r"\d+", "", value))
-    return (f"{tag}.{'.'.join(names)}" if names else tag), noise
+    return (f"{tag}.{'.'.join(names)}" if names else tag), noise, named
+
+
+def _has_text(node: Node) -> bool:
+    todo: list[Node | str] = [node]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            if node.strip():
+                return True
+        elif not node.noise:
+            todo += node.children
+    return False
+
+
+def _settle(root: Node) -> None:
+    """Names (or a form) round every marked article don't make it noise: those below the fewest of them stay."""
+    found: dict[str, list[tuple[int, tuple | None, Node]]] = {"article": [], "main": []}
+    todo: list[tuple[Node, tuple | None, int]] = [(root, None, 0)]
+    while todo:
+        node, above, n = todo.pop()
+        for child in node.children:
+            if isinstance(child, str) or (child.noise and not child.soft):
+                continue
+            m = n + child.soft
+            chain = (child, above) if child.soft else above
+            if child.tag in found:
+                found[child.tag].append((m, chain, child))
+            todo.append((child, chain, m))
+    articles, mains = found["article"], found["main"]
+    if not articles + mains or any(m == 0 for m, _, _ in articles):
+        return
+    if any(m == 0 and _has_text(x) for m, _, x in mains):
+        return
+    marked = articles or mains
+    least = min(m for m, _, _ in marked)
+    for m, chain, _ in marked:
+        while m == least and chain:
+            chain[0].noise = False
+            chain = chain[1]
 
 
 def parse(text: str) -> Node:
@@ -142,13 +186,13 @@ def parse(text: str) -> Node:
         if tag in CLOSED_BY:
             close(CLOSED_BY[tag], SCOPES[tag])
         top = stack[-1]
-        label, noise = _labels(tag, found[3])
+        label, noise, named = _labels(tag, found[3])
         depth = top.depth + 1
         # an inline element shares its block's node: only blocks are branches of the style tree
         path = top.path if tag in INLINE or depth > DEPTH else f"{top.path}/{label}"
         if tag == "header":
             noise |= not any(x.tag in KEEP_TAGS for x in stack)
-        node = Node(tag, label, path, depth, noise)
+        node = Node(tag, label, path, depth, noise or named, named and not noise or tag == "form")
         top.children.append(node)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(text, at)
@@ -157,6 +201,7 @@ def parse(text: str) -> Node:
             at = end.end() if end else n
         elif tag not in VOID and not found[3].endswith("/"):
             stack.append(node)
+    _settle(root)
     return root
 
 

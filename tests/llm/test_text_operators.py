@@ -277,6 +277,17 @@ def test_main_text():
     assert pages.main_text(pages.parse("<body><div class='ad'>x</div><p>kept</p><!-- c --><textarea>t</textarea>")) == "kept"
 
 
+def test_names_do_not_condemn_the_whole_page():
+    for page in (
+        "<body class=has-sidebar><article>a</article><aside>z</aside></body>", "<body><div id=page class=with-nav><nav>n</nav><article>a</article></div></body>", "<main class=no-sidebar><p>a</p></main>",
+        "<body><article class='related-to-x share-price'><p>a</p><div class=share>s</div></article></body>", "<body><form><div><article>a</article></div><input></form></body>",
+        "<body>x<main><div class=with-nav><article>a</article></div></main></body>", "<body class=has-sidebar><p>a</p></body>",
+        "<div class=with-nav><article>a</article><section id=comments><article class=comment>c</article></section></div>",
+    ):
+        assert pages.main_text(pages.parse(page)) == "a"
+    assert pages.main_text(pages.parse("<main><p>a</p><section id=comments><article class=comment>c</article></section></main>")) == "a"
+
+
 def test_style_trees(spark):
     def page(k):
         return f"<body><div class=brand><p>Our house</p><ul><li>same</li></ul></div><div class=text><p>story {k} of many</p></div><div class=tail>by us</div></body>"
