@@ -13,7 +13,7 @@ headers, footers, side bars, notices, adverts, forms, scripts, styles, reader co
 whatever their entropy, and an element marked as the article (or the page's main part) is kept, apart from
 such branches in it. Names never make html, body or main noise, nor, where every marked article of a page is
 below or in such a name or a form, those with the fewest. Where a page has a marked article, only marked
-articles are read.
+articles are read, and in each, if its own importance is LEAST or more, importance decides the rest.
 
 The counts behind an entropy are grouped by (host, node, digest), so a host with any share of the pages is
 spread over all tasks; what comes back to the pages is the list of each host's noisy nodes, which grows
@@ -297,6 +297,8 @@ def main_text(root: Node, noise: frozenset[str] | set[str] = frozenset()) -> str
         piece.clear()
 
     for start in order or [root]:
+        # a host that repeats its one article says nothing of the article's branches
+        judged = not order or start.path not in noise
         todo: list[Node | str | None] = [start]
         while todo:
             node = todo.pop()
@@ -304,7 +306,7 @@ def main_text(root: Node, noise: frozenset[str] | set[str] = frozenset()) -> str
                 end_block()
             elif isinstance(node, str):
                 piece.append(node)
-            elif node.noise or (not order and node.path in noise and node.tag not in HEADINGS):
+            elif node.noise or (judged and node.path in noise and node.tag not in HEADINGS):
                 end_block()
             elif node.tag in INLINE:
                 todo += reversed(node.children)

@@ -302,5 +302,12 @@ def test_style_trees(spark):
     assert pages.extract(frame.where("page_id < 0")).count() == 0
 
 
+def test_style_trees_inside_marked_articles(spark):
+    page = lambda k: f"<body><article class=post><h1>Same head</h1><p>story {k}</p><div class=bio>By our house</div></article></body>"
+    rows = [(k, f"http://one.test/{k}", page(k)) for k in range(30)] + [(100 + k, f"http://two.test/{k}", page(1)) for k in range(30)]
+    found = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[3] == "Same head story 3" and found[100] == "Same head story 1 By our house"
+
+
 def test_entropy():
     assert pages.entropy([1]) == 1.0 and pages.entropy([5]) == 0.0 and pages.entropy([1] * 9) == pytest.approx(1.0)
