@@ -38,7 +38,7 @@ SHARD = 1 << 14
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 SEED = 20
-#: numpy draws without replacement from fewer than this.
+#: numpy draws without replacement from fewer than this; from more, ``_draw`` does.
 DRAWN = 10**9
 
 
@@ -92,10 +92,15 @@ def _draw(counts: np.ndarray, n: int, key: list[int]) -> np.ndarray:
     total = counts.sum()
     if total < DRAWN:
         return np.random.default_rng(key).multivariate_hypergeometric(counts, n, method="marginals")
-    exact = counts * (n / total)
-    found = np.floor(exact).astype(np.int64)
-    found[np.argsort(found - exact, kind="stable")[: n - found.sum()]] += 1
-    return np.minimum(found, counts)
+    # each slot is in by itself with a chance of n / total; the few too many, or too few, are then drawn one by one:
+    # of all sets of n slots each is as likely
+    draw = np.random.default_rng(key)
+    found = draw.binomial(counts, n / total)
+    over = int(found.sum()) - n
+    held = found if over > 0 else counts - found
+    picked = draw.choice(int(held.sum()), abs(over), replace=False, shuffle=False)
+    moved = np.bincount(np.searchsorted(np.cumsum(held), picked, side="right"), minlength=len(counts))
+    return found - moved if over > 0 else found + moved
 
 
 def shard_counts(plan: Plan, shard: int) -> tuple[np.ndarray, np.ndarray]:

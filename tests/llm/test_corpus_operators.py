@@ -237,6 +237,19 @@ def test_permutations():
         assert sorted(mixing.permuted(np.arange(n), n, n * 77).tolist()) == list(range(n))
 
 
+def test_large_draws_are_draws(monkeypatch):
+    counts = np.array([5 * 10**10, 3 * 10**9, 0, 40])
+    n = int(counts.sum()) // 2
+    made = np.array([mixing._draw(counts, n, [7, k]) for k in range(20)])
+    assert (made.sum(axis=1) == n).all() and (made >= 0).all() and (made <= counts).all() and len({tuple(m) for m in made}) == 20
+    small = np.array([30, 20, 10])
+    want = np.array([mixing._draw(small, 24, [1, k]) for k in range(3000)])
+    monkeypatch.setattr(mixing, "DRAWN", 0)
+    found = np.array([mixing._draw(small, 24, [1, k]) for k in range(3000)])
+    assert (found.sum(axis=1) == 24).all()
+    assert np.abs(found.mean(axis=0) - want.mean(axis=0)).max() < 0.25 and np.abs(found.var(axis=0) / want.var(axis=0) - 1).max() < 0.2
+
+
 def test_shards_add_up():
     plan = mixing.Plan(["a", "b", None], [1000, 70, 5], [1700.0, 140.0, 3.0], {}, block=4, shard=16)
     shards = [mixing.shard_slots(plan, k) for k in range(plan.shards)]
