@@ -235,6 +235,20 @@ def _should_exist(spark: SparkSession, sf: str) -> DataFrame:
 
 _add("should_exist", _should_exist, _with("packages", " UNION ALL ".join(f"SELECT '{p}' AS pattern, count(*) > 0 AS holds FROM packages WHERE {_like('id', p)}" for p in (DOMAIN, f"{APP}/nowhere/..."))))
 
+#: The graph queries again, over all dependencies and with SQL of their own: those above keep THIN, as their SQL does.
+WHOLE = f"{virtual.DUCK_IMPORTS}, edges AS (SELECT DISTINCT package_id AS src, import_path AS dst FROM dependencies WHERE within_workspace)"
+WHOLE_GRAPH: dict[str, Callable[[PackageGraph], DataFrame]] = {
+    "nodes": lambda g: g.nodes(),
+    "direct": lambda g: g.direct_dependencies(DOMAIN),
+    "importers": lambda g: g.importers(INFRA),
+    "transitive": lambda g: g.transitive_dependencies(DOMAIN),
+    "transitive_distributed": lambda g: PackageGraph(g.edges, small=0).transitive_dependencies(UI),
+    "transitively_reaches": lambda g: g.edges.sparkSession.createDataFrame([(g.transitively_reaches([DOMAIN], [UI]),)], "reaches boolean"),
+    "directly_reaches": lambda g: g.edges.sparkSession.createDataFrame([(g.directly_reaches([DOMAIN], [UI]),)], "reaches boolean"),
+}
+for _r, _q in WHOLE_GRAPH.items():
+    _add(f"graph_whole_{_r}", lambda spark, sf, q=_q: q(PackageGraph.of(_deps(spark, sf))), ORACLES[f"graph_{_r}"].replace(GRAPH, WHOLE))
+
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """What of the domain layer depends on the infrastructure layer, and where."""

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from codestrata.plans import registry
+from codestrata.plans import registry, virtual
 
 TABLES = "/root/testdata/sf0.001"
 SAMPLE = [n for k, n in enumerate(registry.QUERIES) if k % 5 == 0 or n.startswith(("graph", "tree", "rule", "group", "module", "format", "should"))]
@@ -38,3 +38,10 @@ def test_query(spark, duck, name):
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
 def test_flagship(spark):
     assert registry.flagship(spark, TABLES).count() == 50
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
+def test_whole_graph_loses_no_edge(spark):
+    deps = virtual.imports(spark, TABLES).where("within_workspace")
+    want = {r[0] for r in deps.select("package_id").union(deps.select("import_path")).distinct().collect()}
+    assert {r["id"] for r in registry.QUERIES["graph_whole_nodes"](spark, TABLES).collect()} == want
