@@ -5,9 +5,10 @@ case; with fewer words, the whole sequence is its one shingle; without words the
 with nothing. Two documents link when their sets' Jaccard similarity is 80 % or more. The links' classes are
 returned, and no link between different sets is lost; equal sets are one node, so copies are never paired.
 
-1. Corpus counts: every shingle is counted over all documents, in ranges of its hash. Three bit filters of
-   fixed size keep which are in 2, 16, 256 sets or more; they order all shingles from rare to frequent.
-   A hash that shares its cell with a more frequent one only moves later in that order, which stays right.
+1. Corpus counts: every shingle is counted over all documents, in ranges of its hash. Three bit filters,
+   sized by the number of shingles up to LEVELS, keep which are in 2, 16, 256 sets or more; they order all
+   shingles from rare to frequent. A hash that shares its cell with a more frequent one only moves later in
+   that order, which stays right.
 2. Prefixes: two sets that link share a shingle among the first n - ceil(0.8 n) + 1 of each. Those in one
    set only can't be shared, so a document with enough of them has no entry in any list and is done here.
 3. Relations between sets: in each shingle's list, the set with the least share of unshared shingles leads.
@@ -15,13 +16,16 @@ returned, and no link between different sets is lost; equal sets are one node, s
    and is held as what it lacks of that leader and what it has besides.
 4. Answer-level skipping: a pair inside a group is answered from those differences alone. Sets that link to
    their leader are in one class and are not compared; each other set is compared with blocks of the group.
-5. Index-level skipping: for pairs across groups, lists are read only where they hold several groups, and
-   entries are skipped by set size and by their positions in both sets.
+5. Index-level skipping: for pairs across groups, lists are read only where they hold several groups. A list
+   is held in blocks by set size and by position; its directory says which blocks it has. A set looks only
+   into blocks whose sizes and positions leave room for a link, and pairs from those are tested by their own.
+   Lists of more than LIST sets are cut both ways into pairs of parts, so that none is read in one task.
 6. Links become classes by alternating large and small stars, written to the shared folder at each step.
 
 Groups are cut into blocks of BLOCK by BLOCK sets, so that none is collected in one task. Null texts have
-empty sets. Repeated rows are equal documents. Rows of one doc_id with different texts are one node. A null
-doc_id takes part and is never the smallest. Other columns are ignored by ``classes`` and kept by ``keep_first``.
+empty sets. Repeated rows are equal documents. Nodes are sets, not doc_ids: rows of one doc_id with different
+texts are linked only as their texts are, and doc_ids of any size do. A null doc_id takes part and is never
+the smallest. Empty tables give no rows. Other columns are ignored by ``classes`` and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -30,16 +34,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
+from .bpe import free_name
 from .common import non_null_text, partitions, saved, table
 
 PERCENT = 80
-#: How many documents make a shingle frequent, and the bits of the filter that says so: 8, 2 and 1 MB.
-LEVELS = {2: 26, 16: 24, 256: 23}
-BLOCK = 4096
+#: How many documents make a shingle frequent, and the most bits of the filter that says so: 32, 8 and 4 MB.
+LEVELS = {2: 28, 16: 26, 256: 25}
+BLOCK = 128
+#: Sets of a list that meet in one task.
+LIST = 2048
+#: Blocks of a list by set size: a block's sizes are within a quarter, so a set's partners are in three of them.
+SIZES = 62
+#: Blocks of a list by position, in tenths of the set: a prefix ends at two tenths and a bit.
+PLACES = 3
 ROWS = 1024
 POPULAR = 0.5
 
@@ -78,11 +90,13 @@ def set_table(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(rows_of, "doc_id long, n int, sid binary")
 
 
-def frequency_filters(rows: DataFrame) -> list[np.ndarray]:
-    """For each of LEVELS, the packed cells of the shingles in so many documents or more."""
+def frequency_filters(rows: DataFrame, total: int) -> list[np.ndarray]:
+    """For each of LEVELS, the packed cells of the shingles in so many documents or more. total: the sets' sizes, added up."""
     buckets = 8
     while (1 << buckets) < 4 * partitions(rows.sparkSession) and buckets < 20:
         buckets += 1
+    need = {level: total.bit_length() - k for k, level in enumerate(LEVELS)}
+    bits_of = {level: max(buckets + 3, min(most, need[level])) for level, most in LEVELS.items()}
 
     def payloads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _parts(batches):
@@ -90,26 +104,35 @@ def frequency_filters(rows: DataFrame) -> list[np.ndarray]:
             if not found:
                 continue
             every = np.sort(np.concatenate(found))
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            every, count = every[first], np.diff(np.concatenate([first, [len(every)]]))
             edges = np.searchsorted(every, np.arange((1 << buckets) + 1, dtype=np.uint64) << np.uint64(62 - buckets))
             below = (every >> np.uint64(62 - buckets - 32)).astype(np.uint32)  # the next 32 bits
-            at = np.flatnonzero(np.diff(edges))
-            yield pd.DataFrame({"bucket": at.astype(np.int32), "payload": [below[edges[k] : edges[k + 1]].tobytes() for k in at]})
+            out = []
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                own, times = below[edges[k] : edges[k + 1]], count[edges[k] : edges[k + 1]]
+                more = times > 1  # however many of the part's documents hold a shingle, it is sent once
+                out.append((k, own.tobytes(), own[more].tobytes(), (times[more] - 1).astype(np.uint32).tobytes()))
+            yield pd.DataFrame(out, columns=["bucket", "payload", "more", "times"])
 
     def counted(batch: pd.DataFrame) -> pd.DataFrame:
-        every = np.sort(np.concatenate([np.frombuffer(p, np.uint32) for p in batch["payload"]]))
+        joined = lambda name: np.concatenate([np.frombuffer(p, np.uint32) for p in batch[name]])
+        every = np.sort(joined("payload"))
         first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
         count = np.diff(np.concatenate([first, [len(every)]]))
+        every = every[first]
+        np.add.at(count, np.searchsorted(every, joined("more")), joined("times"))
         out = {"bucket": [int(batch["bucket"].iloc[0])]}
-        for level, cells in LEVELS.items():
+        for level, cells in bits_of.items():
             bits = np.zeros(1 << (cells - buckets), bool)
-            bits[every[first[count >= level]] >> np.uint32(32 - (cells - buckets))] = True
+            bits[every[count >= level] >> np.uint32(32 - (cells - buckets))] = True
             out[f"f{level}"] = [np.packbits(bits, bitorder="little").tobytes()]
         return pd.DataFrame(out)
 
     schema = ", ".join(["bucket int", *(f"f{level} binary" for level in LEVELS)])
-    made = rows.select("text").mapInPandas(payloads, "bucket int, payload binary").groupBy("bucket").applyInPandas(counted, schema)
-    filters = [np.zeros(1 << (cells - 3), np.uint8) for cells in LEVELS.values()]
-    for row in made.toLocalIterator():
+    sent = rows.select("text").mapInPandas(payloads, "bucket int, payload binary, more binary, times binary")
+    filters = [np.zeros(1 << (cells - 3), np.uint8) for cells in bits_of.values()]
+    for row in sent.groupBy("bucket").applyInPandas(counted, schema).collect():  # at most 44 MB, by LEVELS
         for f, level in zip(filters, LEVELS):
             width = len(f) >> buckets
             f[row["bucket"] * width : (row["bucket"] + 1) * width] = np.frombuffer(row[f"f{level}"], np.uint8)
@@ -121,10 +144,10 @@ def _in(shingle: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def active_sets(rows: DataFrame, filters: list[np.ndarray]) -> DataFrame:
+def active_sets(rows: DataFrame, filters: list[np.ndarray] | Broadcast) -> DataFrame:
     """The sets with an entry in some list: sid, n, n0 (how many shingles are in one set only) and the
     shingles from rare to frequent, those n0 first."""
-    shared = rows.sparkSession.sparkContext.broadcast(filters)
+    shared = filters if isinstance(filters, Broadcast) else rows.sparkSession.sparkContext.broadcast(filters)
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         two, *higher = shared.value
@@ -269,82 +292,158 @@ def inside_groups(groups: DataFrame) -> DataFrame:
     return members.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(one, "a binary, b binary")
 
 
+def _size_block(n: Column) -> Column:
+    """Which of SIZES blocks holds sets of n shingles: sizes of a block differ by less than a quarter, but in the last."""
+    return F.least(F.floor(F.log(n.cast("double")) / float(np.log(1.25)) + 1e-9), F.lit(SIZES - 1)).cast("int")
+
+
+def _place_block(pos: Column, n: Column) -> Column:
+    return F.least(F.floor(10 * pos / n), F.lit(PLACES - 1)).cast("int")
+
+
+def _room(size: Column, place: Column, n: Column, pos: Column) -> Column:
+    """Whether any set of a block of a list could link to a set of n shingles that has the list's one at pos."""
+    low = F.floor(F.pow(F.lit(1.25), size) * (1 - 1e-9))
+    high = F.when(size < SIZES - 1, F.ceil(F.pow(F.lit(1.25), size + 1) * (1 + 1e-9))).otherwise(F.lit(2.0**40)).cast("long")
+    last = F.when(place < PLACES - 1, F.ceil((place + 1) * high / 10)).otherwise(high)
+    most = F.least(pos, last) + 1 + F.least(n - pos - 1, high - F.floor(place * low / 10))
+    return (100 * n >= PERCENT * low) & (100 * high >= PERCENT * n) & (most >= F.floor(PERCENT * (n + low) / (100 + PERCENT)))
+
+
 def across_groups(entries: DataFrame, groups: DataFrame) -> DataFrame:
     """a, b: pairs of sets of different groups that could link, by set sizes and positions in their lists."""
     placed = entries.join(groups.select("sid", "leader"), "sid", "left").withColumn("g", F.coalesce("leader", "sid")).drop("leader")
-    held = placed.groupBy("token", "g").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("g", F.struct("c", "g")).alias("most"), F.count(F.lit(1)).alias("gs")).where("gs > 1").drop("gs")
-    live = placed.join(held, "token").drop("alone")
+    placed = placed.withColumns({c: F.col(c).cast("long") for c in ("n", "pos")}).withColumn("size", _size_block(F.col("n"))).withColumn("place", _place_block(F.col("pos"), F.col("n")))
+    one = F.lit(1).cast("long")
+    blocks = [f"blocks{k}" for k in range(PLACES)]  # the directory of a list: a bit for each block that holds sets
+    has = [F.bit_or(F.when(F.col("place") == k, F.call_function("shiftleft", one, F.col("size"))).otherwise(0)).alias(c) for k, c in enumerate(blocks)]
+    held = placed.groupBy("token", "g").agg(F.count(one).alias("c"), *has).groupBy("token")
+    held = held.agg(F.max(F.struct("c", "g")).alias("most"), F.sum("c").alias("all"), F.count(one).alias("gs"), *[F.bit_or(c).alias(c) for c in blocks]).where("gs > 1")
+    parts = lambda n: F.ceil(n / LIST).cast("int")
+    live = placed.join(held.select("token", F.col("most.g").alias("most"), parts(F.col("all") - F.col("most.c")).alias("is"), parts(F.col("all")).alias("js"), *blocks), "token").drop("alone")
+    part = lambda n, seed: F.pmod(F.xxhash64("sid", F.lit(seed)), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # a list's largest group needs no pairs of its own: only sets outside it look for partners
-    left = live.where("g <> most").select("token", *[F.col(c).alias(f"{c}1") for c in ("sid", "n", "pos", "g")])
-    right = live.select("token", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "g")], F.col("g") == F.col("most"))
-    right = right.withColumnRenamed(right.columns[-1], "large")
+    near = F.sequence(F.greatest(F.col("size") - 1, F.lit(0)), F.least(F.col("size") + 1, F.lit(SIZES - 1)))
+
+    def partners(k: int) -> Column:
+        """The list's blocks of place k that leave room for a link."""
+        there = lambda size: F.call_function("shiftright", F.col(blocks[k]), size).bitwiseAND(one) == 1
+        good = F.filter(near, lambda size: there(size) & _room(size, F.lit(k), F.col("n"), F.col("pos")))
+        return F.transform(good, lambda size: F.struct(size.alias("size"), F.lit(k).alias("place")))
+
+    asked = [partners(k) for k in range(PLACES)]
+    left = live.where("g <> most").withColumn("i", part("is", 3)).withColumn("block", F.explode(F.concat(*asked))).withColumn("j", upto("js"))
+    left = left.select("token", "block.size", "block.place", "i", "j", *[F.col(c).alias(f"{c}1") for c in ("sid", "n", "pos", "g")])
+    right = live.withColumn("j", part("js", 4)).withColumn("i", upto("is"))
+    right = right.select("token", "size", "place", "i", "j", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "g")], (F.col("g") == F.col("most")).alias("large"))
     need = F.ceil(PERCENT * (F.col("n1") + F.col("n2")) / (100 + PERCENT))
     most = F.least("pos1", "pos2") + 1 + F.least(F.col("n1") - F.col("pos1") - 1, F.col("n2") - F.col("pos2") - 1)
     once = F.col("large") | (F.col("sid1") < F.col("sid2"))
     fits = (100 * F.col("n1") >= PERCENT * F.col("n2")) & (100 * F.col("n2") >= PERCENT * F.col("n1")) & (most >= need)
     new = (F.col("g1") != F.col("g2")) & (F.col("g1") != F.col("sid2")) & (F.col("g2") != F.col("sid1"))
-    on = (left["token"] == right["token"]) & once & new & fits
-    return left.join(right, on).select(F.least("sid1", "sid2").alias("a"), F.greatest("sid1", "sid2").alias("b")).distinct()
+    met = left.join(right, ["token", "size", "place", "i", "j"]).where(once & new & fits)
+    return met.select(F.least("sid1", "sid2").alias("a"), F.greatest("sid1", "sid2").alias("b")).distinct()
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of every node of the edges u, v, by alternating large and small stars.
+
+    Each step moves edges to smaller nodes until all are stars, so it ends without a limit. A step reads what the
+    one before has written, and a digest of its edges, taken while they are written, tells whether it changed any.
+    """
 
+    def written(made: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        digest = F.xxhash64("u", "v")
+        found = saved(made.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(digest).alias("x"), F.bit_xor(F.xxhash64(digest, F.lit(1))).alias("y")), "edges")
+        return found, (seen.get["n"], seen.get["x"], seen.get["y"])
 
-def connected(edges: DataFrame, steps: int = 40) -> DataFrame:
-    """node, component (its smallest node) of every node of the edges u, v, by alternating large and small stars."""
-    edges = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
-    for _ in range(steps):
+    edges, state = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while state[0]:
+        before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("x"), "m", "u")
-        edges = saved(small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        edges, state = written(small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        if state == before:
             break
-        state = now
-    else:
-        raise RuntimeError("the links' classes did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def linked_sets(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """a, b: links between different sets that join each class. rows: doc_id, text."""
-    active = saved(active_sets(rows, frequency_filters(rows)), "active-sets")
+    """a, b: links between different sets that join each class. rows: doc_id, text; sets: their set_table.
+
+    Every step is written, so that no plan holds another's.
+    """
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    filters = rows.sparkSession.sparkContext.broadcast(frequency_filters(rows, total))
+    active = saved(active_sets(rows, filters), "active-sets")
+    filters.destroy()
     entries = saved(list_entries(active), "entries")
     lead = entries.groupBy("token").agg(F.min(F.struct("alone", "sid")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("lead.sid").alias("b"))
-    stars = entries.join(lead, "token").where(F.col("sid") != F.col("b")).select(F.col("sid").alias("a"), "b").distinct()
+    stars = saved(entries.join(lead, "token").where(F.col("sid") != F.col("b")).select(F.col("sid").alias("a"), "b").distinct(), "leaders")
     compared = saved(compare_with_leaders(stars, active), "stars")
     fame = compared.where(F.col("j") >= POPULAR).groupBy("leader").agg(F.count(F.lit(1)).alias("fame"))
     whole = F.struct("leader", "n", "linked", "has", "besides")
     order = F.struct(F.col("j") >= POPULAR, F.coalesce("fame", F.lit(0)), "j", "leader")
     groups = saved(compared.join(fame, "leader", "left").groupBy("sid").agg(F.max_by(whole, order).alias("g")).select("sid", "g.*"), "groups")
     found = compared.where("linked").select(F.col("sid").alias("a"), F.col("leader").alias("b"))
-    return found.unionByName(inside_groups(groups)).unionByName(verified(across_groups(entries, groups), active))
+    inside = saved(inside_groups(groups), "inside")
+    across = saved(verified(saved(across_groups(entries, groups), "pairs"), active), "across")
+    return found.unionByName(inside).unionByName(across)
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: the key as doc_id, n_shingles, and component_id, the smallest doc_id of its class."""
+def _classes(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """Per row: doc_id, n, sid; and the set that names its class, and the smallest doc_id in that (null without one)."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), non_null_text(f"`{text}`").alias("text"))
     sets = saved(set_table(rows), "sets")
-    nodes = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("node"))
-    pairs = saved(linked_sets(sets, rows), "links")
-    ends = lambda x: nodes.select(F.col("sid").alias(x), F.col("node").alias(f"node_{x}"))
-    edges = pairs.join(ends("a"), "a").join(ends("b"), "b").select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
-    component = connected(edges.where("u IS NOT NULL AND v IS NOT NULL"))
-    labelled = nodes.join(component, "node", "left").select("sid", F.coalesce("component", "node").alias("class"))
-    # written first, so that the join's sides are plain exchanges, whose large partitions Spark can split
-    found = sets.join(saved(labelled, "classes"), "sid", "left")
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
+    component = connected(linked_sets(sets, rows).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    nodes = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
+    # written first, so that the joins' sides are plain exchanges, whose large partitions Spark can split
+    labelled = saved(nodes.join(component.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("class")), "classes")
+    least = labelled.groupBy("class").agg(F.min("least").alias("first"))
+    return sets.join(saved(labelled.select("sid", "class").join(least, "class"), "classes"), "sid", "left")
+
+
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per row: the key as doc_id, n_shingles, and component_id, the smallest doc_id of its class."""
+    found = _classes(docs, text, key)
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+
+
+def _set_ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield pd.Series([shingles.set_id(s) if len(s) else None for s in shingles.sets([t.encode("utf-8", "replace") for t in batch])], dtype=object)
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without those that link to a document of smaller doc_id in their class: one of each class stays.
+def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with one row of each class, that of the smallest doc_id; of its equal rows one stays.
 
-    Of repeated rows one stays; rows without doc_id, which no decision can name, all stay.
+    Where several texts of the class have that doc_id, the one with the least set id stays. Rows without words are
+    linked with nothing and stay, and so do rows without doc_id, which no decision can name.
     """
-    first = classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    found = saved(_classes(docs, text, key).where("doc_id IS NOT NULL").select("doc_id", "sid", "n", "class"), "decisions")
+    first = found.where("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "sid")).alias("f")).select("f.doc_id", "f.sid")
+    often = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
+    key_is = F.col(f"`{key}`").cast("long")
+    names = docs.columns
+    stay, mixed = free_name(names, "stay"), free_name(names, "mixed")
+    alone = first.select("doc_id").unionByName(found.where("n = 0").select("doc_id")).distinct().join(often, "doc_id", "left_anti").select(F.col("doc_id").alias(stay))
+    kept = docs.join(alone, key_is == F.col(stay), "left_semi").unionByName(docs.where(key_is.isNull()))
+    if often.isEmpty():  # no doc_id has several rows: nothing to tell apart
+        return kept
+    sid = free_name(names, "sid")
+    several = docs.join(often.select(F.col("doc_id").alias(mixed)), key_is == F.col(mixed), "left_semi").withColumn(sid, F.pandas_udf(_set_ids, "binary")(non_null_text(f"`{text}`")))
+    several = saved(several, "repeated")
+    wanted = first.select(F.col("doc_id").alias(stay), F.col("sid").alias(mixed))
+    chosen = several.join(wanted, (key_is == F.col(stay)) & (F.col(f"`{sid}`") == F.col(mixed)), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in names])
+    value = F.col(f"`{text}`")
+    chosen = chosen.groupBy(key_is.alias(stay), F.col(f"`{sid}`").alias(mixed)).agg(F.min_by(whole, F.struct(F.length(value), F.xxhash64(value))).alias(sid))
+    return kept.unionByName(chosen.select(*[F.col(f"`{sid}`.`{c}`").alias(c) for c in names])).unionByName(several.where(F.col(f"`{sid}`").isNull()).drop(sid))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,33 @@ def test_classes_equal_brute_force(spark, monkeypatch, seed, block):
     assert sorted(tuple(r) for r in jaccard.classes(docs_frame(spark, rows)).collect()) == brute_classes(rows)
 
 
+def test_lists_cut_into_parts_lose_no_link(spark, monkeypatch):
+    """Every list, and the hot ones most of all, is read in pairs of parts; blocks by size and position are skipped."""
+    monkeypatch.setattr(jaccard, "LIST", 2)
+    r = random.Random(9)
+    common = [f"c{k}" for k in range(14)]
+    rows = near_copies(5, 120)
+    for k in range(60):  # texts of many sizes that share one passage, and copies of each with a word changed
+        words = [f"u{k}x{i}" for i in range(r.choice([3, 8, 30, 55, 56, 57]))] + common
+        rows.append((2000 + k, " ".join(words)))
+        words[r.randrange(3)] = "other"
+        rows.append((3000 + k, " ".join(words)))
+    assert sorted(tuple(r) for r in jaccard.classes(docs_frame(spark, rows)).collect()) == brute_classes(rows)
+
+
+def test_large_ids_and_one_id_of_several_texts(spark):
+    most = 2**63 - 1
+    text, other = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(most - k, text + (f" x{k}" if k % 2 else "")) for k in range(12)]
+    assert {tuple(r) for r in jaccard.classes(docs_frame(spark, rows)).collect()} == {(most - k, 36 + k % 2, most - 11) for k in range(12)}
+    rows = [(5, text), (5, other), (5, other.upper()), (6, text + " x"), (7, other + " y"), (8, "c d e f g h"), (9, ""), (9, ""), (9, "  ")]
+    found = Counter(tuple(r) for r in jaccard.classes(docs_frame(spark, rows)).collect())
+    assert found == Counter({(5, 36, 5): 3, (6, 37, 5): 1, (7, 37, 5): 1, (8, 2, 8): 1, (9, 0, 9): 3})
+    kept = jaccard.keep_first(docs_frame(spark, rows))
+    assert sorted((r["doc_id"], r["text"].lower()) for r in kept.collect()) == sorted([(5, text), (5, other), (8, "c d e f g h"), (9, ""), (9, ""), (9, "  ")])
+    assert kept.columns == docs_frame(spark, []).columns
+
+
 def test_full_filters_change_nothing(spark, monkeypatch):
     """With so few cells that most shingles seem frequent, the order is another one and the classes are the same."""
     monkeypatch.setattr(jaccard, "LEVELS", {2: 11, 16: 12, 256: 11})
@@ -164,6 +191,11 @@ def test_classes_of_edge_cases(spark):
     assert jaccard.keep_first(docs_frame(spark, [(None, "a b c d e f"), (None, "g h"), (1, "x")])).count() == 3
 
 
+def test_connected_without_edges(spark):
+    assert jaccard.connected(spark.createDataFrame([], "u binary, v binary")).count() == 0
+    assert jaccard.connected(spark.createDataFrame([(4, 4)], "u long, v long")).count() == 0
+
+
 def test_connected(spark):
     r = random.Random(5)
     chain = [(k, k + 1) for k in range(60)]
