@@ -1,24 +1,26 @@
-r"""Operator 4: substring deduplication by hashing of lines and their sentences.
+r"""Operator 4: substring deduplication by hashing of lines and their clauses.
 
-A text is cut into units: lines, cut again after ``.``, ``!`` and ``?``, because passages recur inside
-lines. A unit is normalised (A-Z in lower case, words joined by one space) and digested. Of equal units in
-the whole corpus the earliest, by doc_id and then place, stays; the rest are removed, each with its
-original offsets in code points. Units of fewer than MIN_WORDS words are no evidence of copying: they go
-only where they lie between removed units of one text.
+A text is cut into units: lines, cut again after ``.``, ``!``, ``?``, ``;``, ``:`` and ``,``, because passages
+recur inside lines. A unit is normalised (A-Z in lower case, words joined by one space) and digested. Of equal
+units in the whole corpus the earliest, by doc_id and then place, is the original; the others are repeats.
+Neighbouring repeats are a run; units without words between two repeats belong to it. A run of ``least`` words
+or more is a copied passage and is removed, each unit with its original offsets in code points. So text that
+occurs once always stays, and so does a short phrase that many documents share; ``least=1`` removes every repeat.
 
 Digests are grouped once. A worker first drops the repeats within each batch that it reads, which are
 never the earliest, so even a unit that a third of all texts hold reaches its group only once a batch.
 
 Null texts count as empty and stay so. Repeated rows are documents of their own, in the order in which they
 are read; a null doc_id comes first. A document that loses all its words stays in ``dedup`` with what is left.
-Other columns are kept.
+Texts are read whole, however long. Empty tables give no rows. Other columns are kept, whatever their names:
+the operator's own get underscores until no column has them (``own_names`` tells which).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from .bpe import free_name
 from .common import non_null_text, saved, table
 
-MIN_WORDS = 8
-UNIT = r"[^.!?\n]+[.!?\n]*|[.!?\n]+"
+#: Words of a run of repeats that make it a passage.
+LEAST = 20
+UNIT = r"[^.!?;:,\n]+[.!?;:,\n]*|[.!?;:,\n]+"
 _UNIT = re.compile(UNIT)
 CANDIDATES = "row long, doc_id long, unit int, sure boolean, h1 long, h2 long"
 
@@ -39,22 +42,25 @@ def units(text: str) -> list[str]:
     return _UNIT.findall(text)
 
 
-def digest(unit: str, least: int = MIN_WORDS) -> bytes | None:
-    """16 bytes that equal units share; None for a short one."""
-    words = unit.encode("utf-8", "replace").lower().split()
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if len(words) >= least else None
+def _words(unit: str) -> list[bytes]:
+    return unit.encode("utf-8", "replace").lower().split()
 
 
-def repeats(rows: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """row and the numbers of its units that an earlier equal unit makes superfluous. rows: row, doc_id, text."""
+def digest(unit: str) -> bytes | None:
+    """16 bytes that equal units share; None for one without words."""
+    words = _words(unit)
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
+
+
+def repeats(rows: DataFrame) -> DataFrame:
+    """row and the numbers of its units that an earlier unit equals. rows: row, doc_id, text."""
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             row, doc, unit, raw = [], [], [], []
-            ids = batch["doc_id"].astype("Int64").fillna(np.iinfo(np.int64).min).astype("int64")
-            for r, d, text in zip(batch["row"], ids, batch["text"]):
+            for r, d, text in zip(batch["row"], batch["doc_id"], batch["text"]):
                 for k, u in enumerate(units(text)):
-                    h = digest(u, least)
+                    h = digest(u)
                     if h is not None:
                         row.append(r)
                         doc.append(d)
@@ -70,65 +76,68 @@ def repeats(rows: DataFrame, least: int = MIN_WORDS) -> DataFrame:
             h1, h2 = np.where(again, row, h[:, 0]), np.where(again, unit, h[:, 1])  # spread over the tasks
             yield pd.DataFrame({"row": row, "doc_id": doc, "unit": unit, "sure": again, "h1": h1, "h2": h2})
 
-    found = rows.select("row", "doc_id", "text").mapInPandas(rows_of, CANDIDATES)
+    first = F.coalesce("doc_id", F.lit(-(2**63)))
+    found = rows.select("row", first.alias("doc_id"), "text").mapInPandas(rows_of, CANDIDATES)
     place = F.row_number().over(Window.partitionBy("sure", "h1", "h2").orderBy("doc_id", "row", "unit"))
     late = found.withColumn("place", place).where("sure OR place > 1")
     return late.groupBy("row").agg(F.collect_list("unit").alias("again"))
 
 
-def removed_units(all_units: list[str], again: set[int], least: int = MIN_WORDS) -> list[int]:
-    """The repeats, and the short units between them."""
-    out, short, after = [], [], False
-    for k, u in enumerate(all_units):
+def removed_units(all_units: list[str], again: set[int], least: int = LEAST) -> list[int]:
+    """The units of the runs of repeats that have so many words."""
+    out: list[int] = []
+    run: list[int] = []
+    words, last = 0, 0
+    for k, u in enumerate([*all_units, None]):
         if k in again:
-            if after:
-                out += short
-            out.append(k)
-            short, after = [], True
-        elif len(u.encode("utf-8", "replace").split()) < least:
-            short.append(k)
+            run.append(k)
+            words += len(_words(u))
+            last = len(run)
+        elif run and u is not None and not _words(u):
+            run.append(k)
         else:
-            short, after = [], False
+            if words >= least:
+                out += run[:last]
+            run, words, last = [], 0, 0
     return out
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = MIN_WORDS) -> DataFrame:
+def own_names(columns: Iterable[str]) -> tuple[str, str]:
+    """The names of the columns that ``dedup`` adds: n_units and removed."""
+    return free_name(columns, "n_units"), free_name(columns, "removed")
+
+
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = LEAST) -> DataFrame:
     """docs with the text that stays, and two more columns: n_units, and removed, the [start, stop) of each removed unit."""
     names = docs.columns
-    row, count, spans = free_name(names, "row"), free_name(names, "n_units"), free_name(names, "removed")
+    count, spans = own_names(names)
+    row, of_row, again, done = (free_name(names, n) for n in ("row", "of_row", "again", "done"))
     kept = saved(docs.withColumn(row, F.monotonically_increasing_id()), "passages")
     plain = kept.select(F.col(f"`{row}`").alias("row"), F.col(f"`{key}`").cast("long").alias("doc_id"), non_null_text(f"`{text}`").alias("text"))
-    late = repeats(plain, least).withColumnRenamed("row", "of_row")
-    again = free_name([*names, row], "again")
-    joined = kept.join(late.select("of_row", F.col("again").alias(again)), F.col(f"`{row}`") == F.col("of_row"), "left").drop("of_row")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, counts, found = [], [], []
-            for t, numbers in zip(batch[text], batch[again]):
-                if not t:
-                    texts.append(t)
-                    counts.append(0)
-                    found.append([])
-                    continue
-                each = units(t)
-                gone = removed_units(each, set(numbers), least) if numbers is not None else []
-                counts.append(len(each))
-                if gone:
-                    ends = np.cumsum([len(u) for u in each])
-                    found.append([{"start": int(ends[k]) - len(each[k]), "stop": int(ends[k])} for k in gone])
-                    drop = set(gone)
-                    texts.append("".join(u for k, u in enumerate(each) if k not in drop))
-                else:
-                    found.append([])
-                    texts.append(t)
-            batch = batch.drop(columns=[row, again])
-            batch[text] = texts
-            batch[count], batch[spans] = counts, found
-            yield batch
-
-    return joined.mapInPandas(cut, f"{fields}, `{count}` int, `{spans}` array<struct<start: int, stop: int>>")
+    late = repeats(plain).select(F.col("row").alias(of_row), F.col("again").alias(again))
+    joined = kept.join(late, F.col(f"`{row}`") == F.col(of_row), "left")
+
+    @F.pandas_udf("text string, n int, starts array<int>, stops array<int>")
+    def cut(texts: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, late in zip(texts, numbers):
+            each = units(t or "")
+            gone = removed_units(each, set(late), least) if late is not None else []
+            starts, stops = [], []
+            if gone:
+                ends = np.cumsum([len(u) for u in each])
+                drop = set(gone)
+                starts, stops = [int(ends[k]) - len(each[k]) for k in gone], [int(ends[k]) for k in gone]
+                t = "".join(u for k, u in enumerate(each) if k not in drop)
+            out.append((t, len(each), starts, stops))
+        return pd.DataFrame(out, columns=["text", "n", "starts", "stops"])
+
+    span = lambda s: F.struct(s["starts"].alias("start"), s["stops"].alias("stop"))
+    made = joined.withColumn(done, cut(f"`{text}`", F.col(again)))
+    return made.select(
+        *[F.col(f"`{done}`.text").alias(c) if c == text else F.col(f"`{c}`") for c in names],
+        F.col(f"`{done}`.n").alias(count), F.transform(F.arrays_zip(F.col(f"`{done}`.starts"), F.col(f"`{done}`.stops")), span).alias(spans),
+    )
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +156,7 @@ OP4_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 u AS (
   SELECT doc_id, unnest(p) AS unit, unnest(range(1, len(p) + 1)) AS k
-  FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS p FROM d)
+  FROM (SELECT doc_id, regexp_extract_all(text, '{UNIT}') AS p FROM d)
 ),
 n AS (
   SELECT doc_id, k, unit, regexp_extract_all(translate(unit, '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS words,
@@ -155,16 +164,13 @@ n AS (
   FROM u
 ),
 r AS (
-  SELECT *, len(words) >= {MIN_WORDS} AS long,
-    len(words) >= {MIN_WORDS} AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, k) > 1 AS again
-  FROM n
+  SELECT *, len(words) AS w, len(words) > 0 AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, k) > 1 AS again FROM n
 ),
-m AS (
-  SELECT *, CASE WHEN long THEN again ELSE
-    coalesce(last_value(CASE WHEN long THEN again END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
-    AND coalesce(first_value(CASE WHEN long THEN again END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) END AS gone
-  FROM r
+i AS (
+  SELECT *, sum(CASE WHEN w > 0 AND NOT again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM r
 ),
+x AS (SELECT doc_id, island, min(k) AS first, max(k) AS last FROM i WHERE again GROUP BY doc_id, island HAVING sum(w) >= {LEAST}),
+m AS (SELECT i.*, x.first IS NOT NULL AND i.k BETWEEN x.first AND x.last AS gone FROM i LEFT JOIN x ON x.doc_id = i.doc_id AND x.island = i.island),
 g AS (
   SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, CAST(coalesce(sum(length(unit)) FILTER (gone), 0) AS BIGINT) AS removed_chars,
     coalesce(string_agg((stop - length(unit)) || '-' || stop, ',' ORDER BY k) FILTER (gone), '') AS removed_spans,

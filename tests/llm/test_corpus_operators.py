@@ -212,48 +212,79 @@ def test_connected(spark):
 # 4: passages
 
 
-def brute_dedup(rows):
+def brute_dedup(rows, least):
+    """Texts by row: units found by scanning characters; a run of repeats ends at a unit with words that is none."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
     seen, out = set(), {}
     for i in order:
-        each = passages.units(rows[i][1] or "")
-        again = set()
-        for k, u in enumerate(each):
-            words = " ".join("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in WORD.findall(u))
-            if len(words.split(" ")) >= passages.MIN_WORDS and words:
-                if words in seen:
-                    again.add(k)
-                seen.add(words)
-        gone = passages.removed_units(each, again)
+        each: list[str] = []
+        for c in rows[i][1] or "":
+            ended = each and each[-1][-1] in ".!?;:,\n"
+            if not each or (ended and c not in ".!?;:,\n"):
+                each.append(c)
+            else:
+                each[-1] += c
+        words = [" ".join("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in WORD.findall(u)) for u in each]
+        kinds = ""
+        for w in words:
+            kinds += "0" if not w else "r" if w in seen else "n"
+            seen.add(w)
+        gone = set()
+        for m in re.finditer("r[r0]*", kinds):
+            run = range(m.start(), m.start() + len(m[0].rstrip("0")))
+            if sum(len(words[k].split(" ")) for k in run if words[k]) >= least:
+                gone |= set(run)
         out[i] = "".join(u for k, u in enumerate(each) if k not in gone)
     return out
 
 
-def test_passages_equal_brute_force(spark):
+CLASHING = ("row", "ROW_", "n_units", "removed", "again", "done", "of_row", "place", "part", "at", "spans", "turn", "size", "sid", "class", "stay", "words")
+
+
+def clashing(made):
+    """made with further columns whose names operators use for their own."""
+    for c in CLASHING:
+        if c not in made.columns:
+            made = made.withColumn(c, F.lit("x"))
+    return made
+
+
+@pytest.mark.parametrize("least", [1, 8, passages.LEAST])
+def test_passages_equal_brute_force(spark, least):
     r = random.Random(6)
-    pool = [" ".join(r.choices("abcdefghij", k=r.choice([2, 9, 12]))) + r.choice([". ", "!\n", "\n"]) for _ in range(60)]
+    pool = [" ".join(r.choices("abcdefghij", k=r.choice([1, 2, 9, 12]))) + r.choice([". ", "!\n", "\n", ", ", "... ? "]) for _ in range(60)] + ["\n\n", "!? "]
     rows = [(k, "".join(r.choices(pool, k=r.randint(0, 12)))) for k in range(80)]
-    done = passages.dedup(docs_frame(spark, rows))
-    assert done.columns[: len(docs_frame(spark, []).columns)] == docs_frame(spark, []).columns
-    want = brute_dedup(rows)
+    frame = clashing(docs_frame(spark, rows))
+    done = passages.dedup(frame, least=least)
+    count, spans = passages.own_names(frame.columns)
+    assert done.columns == [*frame.columns, count, spans]
+    want = brute_dedup(rows, least)
     for row in done.collect():
-        assert row["text"] == want[row["doc_id"]]
-        text, spans = rows[row["doc_id"]][1], row["removed_"]
+        assert row["text"] == want[row["doc_id"]] and row["removed"] == row["row"] == "x"
+        text = rows[row["doc_id"]][1]
         left, at = "", 0
-        for s in spans:
+        for s in row[spans]:
             left, at = left + text[at : s["start"]], s["stop"]
         assert left + text[at:] == row["text"]
 
 
 def test_passages_of_edge_cases(spark):
-    passage = "one two three four five six seven eight nine ten. "
-    rows = [(2, passage), (1, passage), (2, "x. " + passage), (None, None), (7, ""), (8, "Yes. " + passage + "No. " + passage.upper()), (9, "z " * 40000), (9, "z " * 40000)]
+    passage = "one two three four five six seven eight nine ten eleven, twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty. "
+    most = 2**63 - 1
+    rows = [(2, passage), (1, passage), (2, "x. " + passage), (None, None), (7, ""), (8, "Yes. " + passage + "No. " + passage.upper()), (9, "z " * 40000), (9, "z " * 40000), (most, passage + "w."), (most - 1, "y."), (None, "first. ")]
     done = sorted(((r["doc_id"] or 0), r["text"] or "") for r in passages.dedup(docs_frame(spark, rows)).collect())
-    assert done == sorted(((rows[i][0] or 0), t) for i, t in brute_dedup(rows).items())
-    assert {t.strip() for k, t in done if k == 2} == {"", "x."} and [t.strip() for k, t in done if k in (1, 8)] == [passage.strip(), "Yes."]
+    assert done == sorted(((rows[i][0] or 0), t) for i, t in brute_dedup(rows, passages.LEAST).items())
+    assert {t.strip() for k, t in done if k == 2} == {"", "x."} and [t.strip() for k, t in done if k in (1, 8, most)] == [passage.strip(), "Yes. No.", "w."]
     assert passages.dedup(docs_frame(spark, [])).count() == 0
 
 
+def test_passages_keep_what_occurs_once(spark):
+    first, second = (" ".join(f"{x}{k}" for k in range(25)) + ". " for x in "pq")
+    rows = [(1, first + second), (2, first + "Price is 42 dollars. " + second), (3, first + "Yes. " + second), (4, "Yes. No. " + second + "\n \n" + first), (5, "A line of a few words that many share. New."), (6, "A line of a few words that many share. Other.")]
+    found = {r["doc_id"]: r["text"].strip() for r in passages.dedup(docs_frame(spark, rows)).collect()}
+    assert found == {1: (first + second).strip(), 2: "Price is 42 dollars.", 3: "Yes.", 4: "Yes. No.", 5: rows[4][1], 6: rows[5][1]}
+
+
 # 8: mixing
 
 
