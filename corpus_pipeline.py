@@ -30,10 +30,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = passages.dedup(docs)
-    left = done.where((F.size("removed") == 0) | F.col("text").rlike(WORD))
-    length = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return left.withColumn("n_chars", F.when(F.size("removed") > 0, length).otherwise(F.col("n_chars"))).select(*docs.columns)
+    done, (_, spans) = passages.dedup(docs), passages.own_names(docs.columns)
+    cut = F.size(f"`{spans}`") > 0
+    left = done.where(~cut | F.col("text").rlike(WORD))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        left = left.withColumn("n_chars", F.when(cut, length).otherwise(F.col("n_chars")))
+    return left.select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
