@@ -12,8 +12,11 @@ then meet in a join by (source, block).
 Words are ``[^\x20\x09-\x0D]+``. Sources are ordered by code point, null (a source of its own) last. Their
 weights repeat 5, 2, 1; together they get 150 % of all words; a target stops at 2 times its source's words
 and the excess is shared by weight among the others. No block is taken more than twice, so no document
-exceeds 2 times its size. Null and empty texts have size 0 and nothing is taken of them. Repeated rows and
-ties of doc_id are documents of their own, in order of size (or of text). Reruns agree: all draws follow from the seed.
+exceeds 2 times its size. Null and empty texts have size 0 and nothing is taken of them. A long text is spread
+over as many blocks as its words fill. Repeated rows and ties of doc_id are documents of their own, in order of
+size (or of text); a null doc_id comes first. Reruns agree: all draws follow from the seed. Empty tables, and
+tables without a word, give no slots. Other columns are ignored by ``taken`` and kept by ``mixed_documents``,
+whatever their names: they travel under names of the operator's own.
 
 What the driver holds is one total per source and written part.
 """
@@ -27,10 +30,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, non_null_text, partitions, saved, table
+from .common import WORD, partitions, saved, table
 
 BLOCK = 64
 #: Slots of an output shard.
@@ -38,8 +41,6 @@ SHARD = 1 << 14
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 SEED = 20
-#: numpy draws without replacement from fewer than this; from more, ``_draw`` does.
-DRAWN = 10**9
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -88,17 +89,16 @@ class Plan:
 
 
 def _draw(counts: np.ndarray, n: int, key: list[int]) -> np.ndarray:
-    """n of the slots in counts, without replacement."""
-    total = counts.sum()
-    if total < DRAWN:
-        return np.random.default_rng(key).multivariate_hypergeometric(counts, n, method="marginals")
-    # each slot is in by itself with a chance of n / total; the few too many, or too few, are then drawn one by one:
-    # of all sets of n slots each is as likely
+    """n of the slots in counts, without replacement, however many there are.
+
+    Each slot is in by itself with a chance of n / total; the few too many, or too few, are then drawn one by one:
+    of all sets of n slots each is as likely.
+    """
     draw = np.random.default_rng(key)
-    found = draw.binomial(counts, n / total)
+    found = draw.binomial(counts, n / max(int(counts.sum()), 1))
     over = int(found.sum()) - n
     held = found if over > 0 else counts - found
-    picked = draw.choice(int(held.sum()), abs(over), replace=False, shuffle=False)
+    picked = draw.choice(int(held.sum()), abs(over), replace=False, shuffle=False) if over else np.zeros(0, np.int64)
     moved = np.bincount(np.searchsorted(np.cumsum(held), picked, side="right"), minlength=len(counts))
     return found - moved if over > 0 else found + moved
 
@@ -170,43 +170,41 @@ def slots(spark: SparkSession, plan: Plan) -> DataFrame:
 def layout(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, Plan]:
     """The documents in packed order, each with its place in its part of its source, and the plan of the mix.
 
-    docs has doc_id, source, size and the carried columns. Rows: row, part, at, doc_id, source, size, carried.
+    docs has doc_id, source, the carried columns, and size or, where ``text`` is carried, none: words are then
+    counted once the rows are dealt out. Rows: row, part, at, doc_id, source, size, carried.
     """
-    cols = ["doc_id", "source", "size", *carry]
-    schema = docs.select(*cols).schema
 
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, now, at = TaskContext.get().partitionId(), 0, object(), 0
         for batch in batches:
-            source = batch["source"].astype(object).where(batch["source"].notna(), None)
-            size = batch["size"].to_numpy(np.int64)
+            if not batch.num_rows:
+                continue
+            source = batch.column("source").to_pylist()
+            size = np.asarray(batch.column("size"), np.int64)
             fresh = np.array([a != b for a, b in zip(source, [now, *source[:-1]])], bool)
             ends = np.cumsum(size)
             begins = ends - size
             first = np.maximum.accumulate(np.where(fresh, np.arange(len(size)), -1))
             local = np.where(first >= 0, begins - begins[np.maximum(first, 0)], begins + at)
             at = int(local[-1] + size[-1])
-            now = source.iloc[-1]
-            batch.insert(0, "at", local)
-            batch.insert(0, "part", part)
-            batch.insert(0, "row", (part << 40) + n + np.arange(len(size)))
+            now = source[-1]
+            own = {"row": (part << 40) + n + np.arange(len(size)), "part": np.full(len(size), part, np.int32), "at": local}
             n += len(size)
-            yield batch
-
-    def safe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return placed(b for b in batches if len(b))
-
-    order = ["source", "doc_id", "size", *[c for c in carry if c == "text"]]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    rows = docs.select(*cols).repartitionByRange("source", "doc_id").sortWithinPartitions(*order).mapInPandas(safe, f"row long, part int, at long, {fields}")
-    rows = saved(rows, "mix-layout")
+            yield pa.RecordBatch.from_arrays([*map(pa.array, own.values()), *batch.columns], names=[*own, *batch.schema.names])
+
+    dealt = docs.repartitionByRange("source", "doc_id")
+    if "size" not in docs.columns:
+        dealt = dealt.withColumn("size", words(F.col("text")))
+    dealt = dealt.select("doc_id", "source", "size", *carry).sortWithinPartitions("source", "doc_id", "size", *[c for c in carry if c == "text"])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
+    rows = saved(dealt.mapInArrow(placed, f"row long, part int, at long, {fields}"), "mix-layout")
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("n")).collect()
     names = sorted({r.source for r in sums if r.source is not None}) + [None] * any(r.source is None for r in sums)
-    starts, words = {}, dict.fromkeys(names, 0)
+    starts, total = {}, dict.fromkeys(names, 0)
     for r in sorted(sums, key=lambda r: r.part):
-        starts[r.part, r.source] = words[r.source]
-        words[r.source] += r.n
-    sizes = [words[n] for n in names]
+        starts[r.part, r.source] = total[r.source]
+        total[r.source] += r.n
+    sizes = [total[n] for n in names]
     return rows, Plan(names, sizes, targets(sizes), starts)
 
 
@@ -236,8 +234,13 @@ def per_source(spark: SparkSession, plan: Plan) -> DataFrame:
     return spark.createDataFrame(pa.table(columns, names=["source", "source_size", "target"]))
 
 
-def sized(docs: DataFrame, *carry: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(non_null_text(), F.lit(WORD)).cast("long").alias("size"), *carry)
+def words(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size: written, so that words are counted once though range sampling and shuffle both read them."""
+    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size")), "sizes")
 
 
 def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -272,32 +275,33 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs as the mix holds them, with the same columns: for each pass over its source, a document's
     row has the words that the pass takes of it, in order; a pass that takes none has no row."""
     spark = docs.sparkSession
-    others = [c for c in docs.columns if c not in ("doc_id", "source")]
-    rows, plan = layout(sized(docs, *others), tuple(others))
+    own = ("doc_id", "source", "text")
+    others = {c: f"carried{k}" for k, c in enumerate(c for c in docs.columns if c not in own)}
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", *[F.col(f"`{c}`").alias(x) for c, x in others.items()])
+    rows, plan = layout(few, ("text", *others.values()))
     spans = slots(spark, plan).select("source_no", "block", "turn").hint("merge").join(overlaps(rows, plan), ["source_no", "block"])
     spans = spans.groupBy("row", "turn").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans")).hint("merge")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = []
-            for text, spans in zip(batch["text"], batch["spans"]):
-                raw = text.encode()
-                edge = _word_edges(np.frombuffer(raw, np.uint8))
-                runs: list[list[int]] = []
-                for s in spans:
-                    if runs and runs[-1][1] == s["lo"]:
-                        runs[-1][1] = s["hi"]
-                    else:
-                        runs.append([s["lo"], s["hi"]])
-                texts.append("\n".join(raw[edge[a] : edge[b]].decode().strip() for a, b in runs))
-            batch["text"] = texts
-            yield batch.drop(columns="spans")
-
-    wide = rows.select("row", "doc_id", "source", *others).join(spans, "row").select("doc_id", "source", *others, "spans")
-    out = wide.mapInPandas(cut, wide.drop("spans").schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, taken in zip(texts, spans):
+            raw = text.encode()
+            edge = _word_edges(np.frombuffer(raw, np.uint8))
+            runs: list[list[int]] = []
+            for s in taken:
+                if runs and runs[-1][1] == s["lo"]:
+                    runs[-1][1] = s["hi"]
+                else:
+                    runs.append([s["lo"], s["hi"]])
+            out.append("\n".join(raw[edge[a] : edge[b]].decode().strip() for a, b in runs))
+        return pd.Series(out, dtype=object)
+
+    found = rows.join(spans, "row").select("doc_id", "source", *others.values(), cut("text", "spans").alias("text"))
+    if "n_chars" in others:
+        found = found.withColumn(others["n_chars"], F.length("text"))
+    kind = {f.name: f.dataType for f in docs.schema}
+    return found.select(*[F.col(others.get(c, c)).cast(kind[c]).alias(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

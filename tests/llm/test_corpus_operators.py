@@ -300,17 +300,17 @@ def test_permutations():
         assert sorted(mixing.permuted(np.arange(n), n, n * 77).tolist()) == list(range(n))
 
 
-def test_large_draws_are_draws(monkeypatch):
+def test_draws_of_any_size_are_draws():
     counts = np.array([5 * 10**10, 3 * 10**9, 0, 40])
     n = int(counts.sum()) // 2
     made = np.array([mixing._draw(counts, n, [7, k]) for k in range(20)])
     assert (made.sum(axis=1) == n).all() and (made >= 0).all() and (made <= counts).all() and len({tuple(m) for m in made}) == 20
     small = np.array([30, 20, 10])
-    want = np.array([mixing._draw(small, 24, [1, k]) for k in range(3000)])
-    monkeypatch.setattr(mixing, "DRAWN", 0)
+    want = np.random.default_rng(3).multivariate_hypergeometric(small, 24, 3000)
     found = np.array([mixing._draw(small, 24, [1, k]) for k in range(3000)])
     assert (found.sum(axis=1) == 24).all()
     assert np.abs(found.mean(axis=0) - want.mean(axis=0)).max() < 0.25 and np.abs(found.var(axis=0) / want.var(axis=0) - 1).max() < 0.2
+    assert mixing._draw(small, 60, [1]).tolist() == [30, 20, 10] and mixing._draw(small, 0, [1]).tolist() == [0, 0, 0] and mixing._draw(np.zeros(2, np.int64), 0, [1]).tolist() == [0, 0]
 
 
 def test_shards_add_up():
@@ -361,6 +361,60 @@ def test_mixed_documents_hold_what_is_taken(spark):
     assert {k: v for k, v in taken.items() if v} == dict(words)
 
 
+def brute_mix(rows, block, shard, seed):
+    """Words taken of each row (doc_id, text, source), slot by slot, and the texts by (row, pass); rows in packed order."""
+    names = sorted({s for _, _, s in rows if s is not None}) + [None] * any(s is None for _, _, s in rows)
+    packed = {s: [(i, w) for i, (_, t, x) in enumerate(rows) if x == s for w in WORD.findall(t or "")] for s in names}
+    plan = mixing.Plan(names, [len(packed[s]) for s in names], brute_targets([len(packed[s]) for s in names]), {}, block, shard, seed)
+    taken: Counter = Counter()
+    words: dict = {}
+    for k in range(plan.shards):
+        for r in mixing.shard_slots(plan, k).itertuples():
+            for at in range(r.block * block, min((r.block + 1) * block, len(packed[names[r.source_no]]))):
+                i, w = packed[names[r.source_no]][at]
+                taken[i] += 1
+                words.setdefault((i, r.turn), []).append((at, w))
+    return taken, {k: [w for _, w in sorted(v)] for k, v in words.items()}
+
+
+def brute_targets(sizes):
+    """Shares by weight, found by raising a common level until 150 % of the words are given out."""
+    weight = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+    low, high = 0.0, 1e12
+    for _ in range(300):
+        level = (low + high) / 2
+        given = sum(min(level * w, 2 * n) for w, n in zip(weight, sizes))
+        low, high = (level, high) if given < 1.5 * sum(sizes) else (low, level)
+    return [min(high * w, 2 * n) for w, n in zip(weight, sizes)]
+
+
+def test_targets_equal_brute_force():
+    r = random.Random(4)
+    for _ in range(100):
+        sizes = [r.choice([0, 1, 10, 1000, r.randrange(10**6)]) for _ in range(r.randint(1, 9))]
+        assert mixing.targets(sizes) == pytest.approx(brute_targets(sizes), rel=1e-6, abs=1e-6)
+
+
+def test_mix_equals_brute_force(spark):
+    r = random.Random(11)
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(r.choice([0, 1, 3, 70, 200, 3000 if k == 30 else 9]))), r.choice(["a", "b", "ä", None])) for k in range(60)]
+    frame = clashing(spark.createDataFrame(rows, "doc_id long, text string, source string")).withColumn("n_chars", F.lit(None).cast("long")).withColumn("times", F.lit(1)).withColumn("text_", F.lit(2))
+    taken, texts = brute_mix(rows, mixing.BLOCK, mixing.SHARD, mixing.SEED)
+    found = mixing.taken(frame).collect()
+    assert {r["doc_id"]: r["taken"] for r in found} == {k: taken[k] for k in range(60)}
+    made = mixing.mixed_documents(frame)
+    assert made.columns == frame.columns and made.schema["n_chars"] == frame.schema["n_chars"]
+    got = sorted((r["doc_id"], WORD.findall(r["text"])) for r in made.collect())
+    assert got == sorted((k, w) for (k, _), w in texts.items())
+
+
+def test_mixing_keeps_large_ids_beside_null_ones(spark):
+    most = 2**63 - 1
+    docs = spark.createDataFrame([(most, "a b", "s", most), (most - 1, "c " * 500, "s", None), (None, "d e f", None, 5)], "doc_id long, text string, source string, row long")
+    assert {r["doc_id"] for r in mixing.taken(docs).collect()} == {most, most - 1, None}
+    assert {(r["doc_id"], r["row"]) for r in mixing.mixed_documents(docs).collect()} <= {(most, most), (most - 1, None), (None, 5)}
+
+
 def test_no_sources(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.taken(docs).count() == 0 and mixing.mixed_documents(docs).count() == 0
