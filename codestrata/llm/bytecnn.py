@@ -9,11 +9,13 @@ weights are at most 0: filters find what is wrong, so a short text isn't blamed
 
 Training gradients pass only through the windows that won a maximum. The sample is bounded by
 SAMPLE_ROWS rows of label 0 and three times as many of label 1, taken in the order of a hash of doc_id among the labelled rows given, so
-it is the same at every run. Scoring covers every byte of every text. If the sample lacks a class, the
-score is the share of label 1 (one half without any row).
+it is the same at every run, and by SAMPLE_BYTES of text, of which one row holds a hundredth at most. Scoring
+covers every byte of every text; a long one is read in slices, whose chunks are those of the whole. If the sample
+lacks a class, the score is the share of label 1 (one half without any row).
 
 Null and empty texts hold no chunk and score as if no filter had found anything. Repeated rows score alike.
-Extra columns are ignored by ``score`` and kept by ``keep``. Only the text enters a score.
+Extra columns are ignored by ``score`` and kept by ``keep``, whatever their names. Only the text enters a score.
+Empty tables give no rows; without labelled rows every score is one half.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import non_null_text, table
@@ -34,12 +36,14 @@ DIMENSIONS = 8
 CHUNK = 128
 #: The most labelled rows of label 0 that training reads, and of label 1 three times as many.
 SAMPLE_ROWS = 500
+#: The most bytes of text that training reads.
+SAMPLE_BYTES = 1 << 26
 EPOCHS = 12
 #: A small sample is gone through more often, until so many steps are made.
 LEAST_STEPS = 400
 THRESHOLD = 0.3
-#: Bytes that are scored at a time.
-SLICE = 1 << 17
+#: Bytes that are scored at a time: whole chunks, so that the cuts change no score.
+SLICE = 1024 * CHUNK
 
 
 def _chunk_starts(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,52 +86,58 @@ class Model:
         return features @ self.weight + self.offset
 
 
-def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts end to end, each after WIDTH - 1 zero bytes, and the windows of each: one for each byte, none for an empty text."""
-    gap = bytes(WIDTH - 1)
-    joined = gap + gap.join(texts) + gap
-    return np.frombuffer(joined, np.uint8), np.array([len(t) for t in texts], np.int64)
+GAP = bytes(WIDTH - 1)
+
+
+def _joined(pieces: list[bytes], before: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces end to end, each after the WIDTH - 1 bytes before it; for each, how many windows end in it, one a
+    byte, and where the first of them begins."""
+    data = np.frombuffer(b"".join(x for pair in zip(before, pieces) for x in pair), np.uint8)
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    return data, lengths, np.cumsum(lengths + WIDTH - 1) - (lengths + WIDTH - 1)
+
+
+def _chunks(lengths: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, window after the last, and piece of each chunk."""
+    starts, owner = _chunk_starts(lengths)
+    at = starts + (begin - (np.cumsum(lengths) - lengths))[owner]
+    return at, np.minimum(at + CHUNK, (begin + lengths)[owner]), owner
 
 
 def _features(model: Model, tables: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
     """Greatest and mean chunk response of each text."""
     out = np.full((len(texts), 2 * FILTERS), -1.0)
-    whole = [i for i, t in enumerate(texts) if t]
-    if not whole:
-        return out
     chunks, owners = [], []
-    group: list[bytes] = []
+    pieces: list[bytes] = []
+    before: list[bytes] = []
     ids: list[int] = []
 
     def run() -> None:
-        data, lengths = _padded(group)
+        data, lengths, begin = _joined(pieces, before)
         response = model.responses(data, tables)
-        # a text of n bytes owns n windows: each ends at one of its bytes, the first ones begin in the gap before it
-        begin = np.cumsum(lengths + WIDTH - 1) - (lengths + WIDTH - 1)
-        starts, owner = _chunk_starts(lengths)
-        shift = begin - (np.cumsum(lengths) - lengths)
-        at = starts + shift[owner]
-        ends = np.minimum(at + CHUNK, begin[owner] + lengths[owner])
+        at, ends, owner = _chunks(lengths, begin)
         edges = np.empty(2 * len(at), np.int64)
         edges[0::2], edges[1::2] = at, ends
         edges = edges[:-1] if edges[-1] >= len(response) else edges
         chunks.append(np.maximum.reduceat(response, edges, axis=0)[0::2])
         owners.append(np.array(ids)[owner])
-        group.clear()
-        ids.clear()
-
-    held = 0
-    for i in whole:
-        t = texts[i]
-        for a in range(0, len(t), SLICE):  # a long text goes in slices that overlap by a window
-            group.append(t[max(0, a - WIDTH + 1) : a + SLICE])
+        for held in (pieces, before, ids):
+            held.clear()
+
+    size = 0
+    for i, t in enumerate(texts):
+        for a in range(0, len(t), SLICE):  # a slice's first windows begin in the bytes before it
+            pieces.append(t[a : a + SLICE])
+            before.append(t[a - WIDTH + 1 : a] if a else GAP)
             ids.append(i)
-            held += len(group[-1])
-            if held >= SLICE:
+            size += len(pieces[-1])
+            if size >= SLICE:
                 run()
-                held = 0
-    if group:
+                size = 0
+    if pieces:
         run()
+    if not chunks:
+        return out
     pooled, owner = np.tanh(np.concatenate(chunks) + model.bias), np.concatenate(owners)
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     rows = owner[first]
@@ -176,38 +186,35 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, least_st
 def _gradients(model: Model, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the log loss; only the window that won each chunk's maximum has a share."""
     single = np.einsum("bd,wdf->wbf", model.embed, model.filters).astype(np.float32)
-    data, lengths = _padded(texts)
-    n = len(data) - WIDTH + 1
-    response = single[0][data[:n]]
+    data, lengths, begin = _joined(texts, [GAP] * len(texts))
+    n = max(len(data) - WIDTH + 1, 0)
+    response = np.take(single[0], data[:n], axis=0)
     for w in range(1, WIDTH):
-        response += single[w][data[w : w + n]]
-    begin = np.cumsum(lengths + WIDTH - 1) - (lengths + WIDTH - 1)
-    starts, owner = _chunk_starts(lengths)
-    at = starts + (begin - (np.cumsum(lengths) - lengths))[owner]
-    ends = np.minimum(at + CHUNK, begin[owner] + lengths[owner])
-    won = np.stack([a + response[a:b].argmax(axis=0) for a, b in zip(at, ends)]) if len(at) else np.zeros((0, FILTERS), np.int64)
-    pooled = np.tanh(response[won, np.arange(FILTERS)] + model.bias)
+        response += np.take(single[w], data[w : w + n], axis=0)
+    at, ends, owner = _chunks(lengths, begin)
     docs = len(texts)
     features = np.where((lengths == 0)[:, None], -1.0, np.zeros((docs, 2 * FILTERS)))
+    won, pooled = np.zeros((0, FILTERS), np.int64), np.zeros((0, FILTERS))
     counts = np.maximum(np.bincount(owner, minlength=docs), 1)
-    best = np.full((docs, FILTERS), -1)
-    for c in range(len(owner)):  # chunks of a document follow each other
-        d = owner[c]
-        features[d, FILTERS:] += pooled[c] / counts[d]
-        better = (best[d] < 0) | (pooled[c] > features[d, :FILTERS])
-        best[d][better] = c
-        features[d, :FILTERS][better] = pooled[c][better]
+    columns = np.arange(FILTERS)
+    if len(at):
+        inside = np.minimum(at[:, None] + np.arange(CHUNK), ends[:, None] - 1)
+        won = at[:, None] + response[inside].argmax(axis=1)
+        pooled = np.tanh(response[won, columns] + model.bias)
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        rows = owner[first]
+        features[rows, :FILTERS] = np.maximum.reduceat(pooled, first, axis=0)
+        features[rows, FILTERS:] = np.add.reduceat(pooled, first, axis=0) / counts[rows][:, None]
     error = (1 / (1 + np.exp(-np.clip(model.logit(features), -30, 30))) - labels) / docs
     d_pooled = (error[:, None] * model.weight[FILTERS:] / counts[:, None])[owner]
-    for d in range(docs):
-        if best[d][0] >= 0:
-            d_pooled[best[d], np.arange(FILTERS)] += error[d] * model.weight[:FILTERS]
+    if len(at):  # of a document's greatest chunks the first has the share
+        best = np.minimum.reduceat(np.where(pooled == features[owner, :FILTERS], np.arange(len(owner))[:, None], len(owner)), first, axis=0)
+        d_pooled[best, columns] += error[rows][:, None] * model.weight[:FILTERS]
     d_z = d_pooled * (1 - pooled**2)
     d_embed, d_filters = np.zeros_like(model.embed), np.zeros_like(model.filters)
     for w in range(WIDTH):
-        byte = data[won + w]  # chunks x FILTERS
-        table = np.zeros((256, FILTERS))
-        np.add.at(table, (byte, np.arange(FILTERS)[None, :]), d_z)
+        cell = data[won + w].astype(np.int64) * FILTERS + columns  # chunks x FILTERS
+        table = np.bincount(cell.ravel(), d_z.ravel(), 256 * FILTERS).reshape(256, FILTERS)
         d_filters[w] = model.embed.T @ table
         d_embed += table @ model.filters[w].T
     return {"embed": d_embed, "filters": d_filters, "bias": d_z.sum(axis=0), "weight": features.T @ error + 1e-4 * model.weight, "offset": error.sum()}
@@ -218,8 +225,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: s
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"))
     picked = known.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).unionByName(known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(3 * rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), non_null_text().alias("text"))
-    few = texts.join(F.broadcast(picked.select(F.col("doc_id").cast("long"), "y")), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id")
-    got = few.select("text", "y").toPandas()
+    few = texts.where(F.octet_length("text") <= SAMPLE_BYTES // 100).join(F.broadcast(picked.select(F.col("doc_id").cast("long"), "y")), "doc_id")
+    few = few.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # of a doc_id's texts the least
+    held = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    got = few.withColumn("held", held).where(F.col("held") <= SAMPLE_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").toPandas()
     return [t.encode() for t in got["text"]], got["y"].to_numpy()
 
 

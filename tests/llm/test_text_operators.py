@@ -196,6 +196,62 @@ def test_batches_do_not_change_scores(monkeypatch):
     assert np.allclose(whole, np.concatenate([bytecnn.predict(model, [t]) for t in texts]))
 
 
+def brute_score(model, text):
+    """The network window by window: zero bytes stand before the text, a chunk has CHUNK windows."""
+    if not text:
+        features = [-1.0] * (2 * bytecnn.FILTERS)
+    else:
+        padded = bytes(bytecnn.WIDTH - 1) + text
+        z = np.array([sum(model.embed[padded[k + w]] @ model.filters[w] for w in range(bytecnn.WIDTH)) for k in range(len(text))])
+        chunks = np.array([np.tanh(z[a : a + bytecnn.CHUNK].max(axis=0) + model.bias) for a in range(0, len(text), bytecnn.CHUNK)])
+        features = [*chunks.max(axis=0), *chunks.mean(axis=0)]
+    return 1 / (1 + np.exp(-(np.array(features) @ model.weight + model.offset)))
+
+
+def test_scores_equal_brute_force(monkeypatch):
+    r = random.Random(13)
+    model = bytecnn.Model.fresh(3)
+    texts = [bytes(r.choices(range(256), k=n)) for n in (0, 1, 5, 6, 127, 128, 129, 1000, 5000)]
+    want = [brute_score(model, t) for t in texts]
+    assert bytecnn.predict(model, texts) == pytest.approx(want, rel=1e-4)
+    whole = bytecnn.predict(model, texts)
+    for slices in (1, 2, 3, 7):  # the texts are longer than these slices
+        monkeypatch.setattr(bytecnn, "SLICE", slices * bytecnn.CHUNK)
+        assert (bytecnn.predict(model, texts) == whole).all()
+
+
+def test_long_texts_score_alike_in_one_and_in_many_slices(monkeypatch):
+    model = bytecnn.Model.fresh(4)
+    text = bytes(random.Random(14).choices(range(32, 127), k=310_001))
+    assert len(text) > 2 * bytecnn.SLICE
+    whole = bytecnn.predict(model, [text, b"x", text])
+    monkeypatch.setattr(bytecnn, "SLICE", 1 << 22)
+    assert (bytecnn.predict(model, [text, b"x", text]) == whole).all()
+
+
+def test_gradients_equal_differences():
+    r = random.Random(15)
+    texts = [bytes(r.choices(b"abcdef ", k=n)) for n in (0, 3, 140, 700)]
+    labels, model = np.array([1.0, 0.0, 1.0, 0.0]), bytecnn.Model.fresh(5)
+
+    def loss(m):
+        p = np.array([brute_score(m, t) for t in texts])
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p)) + 0.5e-4 * (m.weight**2).sum()
+
+    grads = bytecnn._gradients(model, texts, labels)
+    for name, at in (("embed", (97, 2)), ("filters", (3, 1, 4)), ("bias", (7,)), ("weight", (5,)), ("weight", (20,))):
+        step = 1e-5
+        value = getattr(model, name)
+        sides = []
+        for sign in (1, -1):
+            moved = value.copy()
+            moved[at] += sign * step
+            setattr(model, name, moved)
+            sides.append(loss(model))
+        setattr(model, name, value)
+        assert grads[name][at] == pytest.approx((sides[0] - sides[1]) / (2 * step), rel=2e-2, abs=1e-6)
+
+
 def test_classifier_without_both_labels(spark):
     assert bytecnn.train([], np.array([])) == 0.5 and bytecnn.train([b"x"], np.array([1])) == 1.0
     docs, labels = docs_frame(spark, EDGES), spark.createDataFrame([(1, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
