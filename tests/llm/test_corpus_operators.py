@@ -25,25 +25,35 @@ def docs_frame(spark, rows):
 
 def brute_top(rows, k=5):
     out = []
-    for q, x in rows:
+    for i, (q, x) in enumerate(rows):
         if q % 50 == 0:
-            ranked = sorted((-int(np.dot(x, y)), v) for v, y in rows if v != q and len(y) == len(x))[:k]
-            out += [(q, i + 1, v, -s) for i, (s, v) in enumerate(ranked)]
+            ranked = sorted((-int(np.dot(x, y)), v) for j, (v, y) in enumerate(rows) if j != i and len(y) == len(x))[:k]
+            out += [(q, n + 1, v, -s) for n, (s, v) in enumerate(ranked)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [8192, 7])
-def test_search(spark, block):
+@pytest.mark.parametrize("cells", [topk.CELLS, 60])
+def test_search(spark, cells):
     r = np.random.default_rng(1)
     rows = [(int(v), [float(x) for x in r.integers(-3, 4, 6) / 256]) for v in r.permutation(160)]
     rows[3] = (rows[3][0], rows[4][1])
-    frame = spark.createDataFrame([*rows, rows[0], (1000, None), (1001, [1.0, None]), (1050, [float("nan")] * 6), (1100, [float("inf")] * 6), (None, [1.0] * 6), (1150, []), (1200, [1.0, 2.0])], "vec_id long, embedding array<double>").withColumn("x", F.lit(1)).withColumn("rank", F.lit(1))
-    found = topk.search(topk.quantise(frame), F.col("vec_id") % 50 == 0, block=block, query_block=3).collect()
+    rows += [rows[0], rows[0], (50, rows[5][1]), (50, rows[5][1]), (50, [9 / 256] * 6), (7, rows[6][1])]  # repeated rows, and rows of one vec_id
+    rows += [(k, [float(x) for x in r.integers(-3, 4, 40) / 256]) for k in (2000, 2001, 2050)]
+    frame = spark.createDataFrame([*rows, (1000, None), (1001, [1.0, None]), (1050, [float("nan")] * 6), (1100, [float("inf")] * 6), (None, [1.0] * 6), (1150, []), (1200, [1.0, 2.0])], "vec_id long, embedding array<double>").withColumn("x", F.lit(1)).withColumn("rank", F.lit(1)).withColumn("row", F.lit(3))
+    found = topk.search(topk.quantise(frame), F.col("vec_id") % 50 == 0, cells=cells).collect()
     ints = [(v, np.floor(np.array(x) * 256).astype(int)) for v, x in rows]
     assert sorted(tuple(f) for f in found) == brute_top(ints)
     assert topk.search(topk.quantise(frame.where("vec_id < 0")), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_long_vectors(spark):
+    r = np.random.default_rng(6)
+    rows = [(int(k), [float(x) for x in r.integers(-2, 3, 20000) / 256]) for k in range(0, 30)]
+    found = topk.search(topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), F.col("vec_id") % 10 == 0, cells=100_000).collect()
+    want = brute_top([(5 * k, np.floor(np.array(x) * 256).astype(int)) for k, x in rows])
+    assert sorted((5 * f["query_id"], f["rank"], 5 * f["vec_id"], f["score"]) for f in found) == want
+
+
 def test_search_stops_early_and_handles_zero_queries():
     r = np.random.default_rng(2)
     rows = r.normal(0, 1, (4000, 3))
