@@ -365,5 +365,89 @@ def test_style_trees_inside_marked_articles(spark):
     assert found[3] == "Same head story 3" and found[100] == "Same head story 1 By our house"
 
 
+def brute_tree(hosts):
+    """The unimportant nodes of each host's style tree, from the pages as nested lists [tag, name, doubtful, children]."""
+    import math
+
+    out = set()
+    for host, roots in hosts.items():
+        nodes: dict = {}
+        for k, root in enumerate(roots):
+            todo = [((), root, False)]
+            while todo:
+                above, (tag, name, doubtful, children), inherited = todo.pop()
+                path = (*above, f"{tag}.{name}" if name else tag)
+                node = nodes.setdefault(path, {"shapes": [], "texts": [], "pages": set(), "doubts": 0})
+                node["shapes"].append(tuple(f"{c[0]}.{c[1]}" for c in children if not isinstance(c, str)))
+                node["texts"] += [" ".join(c.split()) for c in ["".join(c for c in children if isinstance(c, str))] if c.split()]
+                node["pages"].add(k)
+                node["doubts"] += doubtful or inherited
+                todo += [(path, c, doubtful or inherited) for c in children if not isinstance(c, str)]
+        for path, node in nodes.items():
+            n, m = len(node["shapes"]), len(node["pages"])
+            share = lambda xs: [xs.count(x) for x in dict.fromkeys(xs)]
+            shape = 1.0 if n < 2 else -sum(c / n * math.log(c / n) for c in share(node["shapes"])) / math.log(n)
+            said = share(node["texts"])
+            content = 0.0 if not said else 1.0 if n < 2 else 1 - sum(math.log(c) for c in said) / len(said) / math.log(n)
+            doubt = 2 * node["doubts"] > n
+            low = m * shape / (m + pages.DOUBT) < pages.SURE if doubt else (m * max(shape, content) + pages.ONE) / (m + pages.ONE) < pages.LEAST
+            if low:
+                out.add((host, path, doubt))
+    return out
+
+
+def random_page(r, host):
+    """A page as nested lists: names ad and nav are doubtful; some hosts have deep or repeated branches."""
+    words = lambda n: " ".join(r.choice(["x", "y", f"u{r.randrange(10**6)}"]) for _ in range(n))
+    blocks = [["div", "brand", False, ["Our house"]], ["div", "ad", True, [words(3), ["div", "", False, [words(1)]]]], ["section", "tail", False, [r.choice(["by us", "by them"])]]]
+    story = ["div", "text", False, [["p", "", False, [words(r.randint(1, 6))]] for _ in range(r.randint(1, 4))]]
+    for _ in range(30 if host == "deep.test" else 1):
+        story = ["div", "", False, [story]]
+    blocks.insert(r.randrange(4), story)
+    return ["body", "", False, blocks if r.random() < 0.8 else blocks[::-1]]
+
+
+def markup(node):
+    tag, name, _, children = node
+    return f"<{tag}{f' class={name}' if name else ''}>{''.join(c if isinstance(c, str) else markup(c) for c in children)}</{tag}>"
+
+
+def test_style_trees_equal_brute_force(spark):
+    r = random.Random(21)
+    hosts = {f"h{n}.test": [random_page(r, "") for _ in range(n)] for n in (1, 2, 3, 5, 7, 40)} | {"deep.test": [random_page(r, "deep.test") for _ in range(6)]}
+    rows = [(k, f"http://{host}/{k}", markup(p)) for host, made in hosts.items() for k, p in enumerate(made)]
+    digest = lambda path: digest_of(path[:-1], path[-1])
+    digest_of = lambda above, label: pages._digest(f"{digest(above) if above else 0}/{label}")
+    found = {(x["host"], x["path"], x["doubt"]) for x in pages.noisy_nodes(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = brute_tree(hosts)
+    assert found == {(h, digest(path), d) for h, path, d in want}
+    assert any(h == "h2.test" and not d for h, _, d in want) and any(h == "deep.test" and len(path) > 25 for h, path, _ in want)
+
+
+def texts_of(spark, htmls, noise=None, host="one.test"):
+    frame = spark.createDataFrame([(k, f"http://{host}/{k}", h) for k, h in enumerate(htmls)], "page_id long, url string, html string")
+    made = pages.extract(frame, noise if noise is None else noise(frame))
+    return [x["text"] for x in sorted(made.collect(), key=lambda x: x["page_id"])]
+
+
+def test_the_tree_decides_and_names_only_bias(spark):
+    page = lambda k, body: f"<body><nav><a href=/{k}>menu {k}</a></nav><article><h1>head {k}</h1><p>story {k}</p><div class=box>buy {k % 2}</div></article><div class=ad>offer {k}</div>{body}</body>"
+    made = [page(k, "") for k in range(40)]
+    assert texts_of(spark, made) == [f"head {k} story {k}" for k in range(40)]  # changing adverts and menus, and an advert that no name tells
+    empty = texts_of(spark, made, lambda frame: pages.noisy_nodes(frame).where("false"))
+    assert empty == [f"menu {k} head {k} story {k} buy {k % 2} offer {k}" for k in range(40)]  # without the tree all stays
+    # a branch of such a name whose shapes differ from page to page as an article's do
+    shapes = lambda k: "".join("<p>a</p>" if (k >> i) & 1 else "<h3>b</h3>" for i in range(7))
+    made = [f"<body><nav>n</nav><div class=promo-story>{shapes(k)}<h2>c {k}</h2></div></body>" for k in range(100)]
+    assert all(f"c {k}" in t and "n" not in t for k, t in enumerate(texts_of(spark, made)))
+
+
+def test_small_hosts_lose_what_they_repeat(spark):
+    page = lambda k: f"<body><div class=brand>Our house</div><div class=text><p>story {k}</p></div></body>"
+    assert texts_of(spark, [page(k) for k in range(2)]) == ["story 0", "story 1"] and texts_of(spark, [page(1)]) == ["Our house story 1"]
+    assert texts_of(spark, [page(1)] * 4) == ["Our house story 1"] * 4  # nothing tells them apart
+    assert texts_of(spark, [page(1), None, "", "<p>" + "long text " * 60000 + "</p>"])[1:] == ["", "", ("long text " * 60000).strip()]
+
+
 def test_entropy():
     assert pages.entropy([1]) == 1.0 and pages.entropy([5]) == 0.0 and pages.entropy([1] * 9) == pytest.approx(1.0)
