@@ -4,7 +4,7 @@ Some pairs of neighbouring bytes occur inside no token of the vocabulary. No mer
 across such a pair, so it is a *certain cut*: the fragments on both sides encode independently and
 their ids are concatenated. A 256 x 256 table of the pairs that do occur, built from the vocabulary,
 finds the cuts of a whole text with one vectorised lookup. Fragments are short and recur, so a worker
-remembers the ids of those seen lately in a table of bounded size and merges only the others. The
+remembers the ids of those seen lately, packed, in a table of bounded size and merges only the others. The
 merges of a fragment run in a compiled library where the vocabulary's ranks are its ids, else here.
 
 A cut is used only where the pre-tokeniser cannot look across it either: never inside a character,
@@ -13,7 +13,9 @@ contraction could seem to start there). A fragment is then pre-tokenised and mer
 
 Null texts count as empty and give no ids. Special tokens in a text are recognised, as the public
 library does by default. Ids that are not in the vocabulary decode to nothing. Byte runs that are
-not UTF-8 decode to U+FFFD. Texts of any length are encoded window by window.
+not UTF-8 decode to U+FFFD. Texts of any length are encoded window by window. Repeated rows give equal
+rows. Empty tables give no rows. Other columns are kept by ``encode`` and ``decode``, whose own gets underscores
+until no column has its name, and ignored by ``digests``.
 """
 
 from __future__ import annotations
@@ -79,12 +81,12 @@ class ForcedBoundaryBPE:
         for content, i in self.special.items():
             self.tokens[i] = content.encode()
         self.decimal = [str(i) for i in range(size)]
-        self._id = list(range(size))  # one object for each id, however many fragments hold it
         self.pattern = regex.compile(PATTERN)
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cuts = self._certain_cuts()
-        self._known: dict[bytes, tuple[int, ...]] = {}
-        self._older: dict[bytes, tuple[int, ...]] = {}
+        self._packed = [i.to_bytes(4, "little") for i in range(size)]
+        self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
         made = [self.ids[left + right] for left, right in self.ranks]
         self._ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={}) if made == sorted(made) else None
 
@@ -127,19 +129,12 @@ class ForcedBoundaryBPE:
                     heapq.heappush(queue, (r, a, part[a], part[b]))
         return [self.ids[p] for p in part if p is not None]
 
-    def fragment(self, fragment: bytes) -> tuple[int, ...]:
-        """Ids of a stretch between two certain cuts."""
-        found = self._known.get(fragment) or self._older.get(fragment)
-        if found is None:
-            if self._ranked is not None and len(fragment) <= 1024:
-                found = tuple(map(self._id.__getitem__, self._ranked.encode_ordinary(fragment.decode())))
-            else:
-                found = tuple(i for piece in self.pattern.findall(fragment.decode()) for i in self.merge(piece.encode()))
-        if len(fragment) <= LONGEST_REMEMBERED:
-            if len(self._known) >= REMEMBERED:
-                self._known, self._older = {}, self._known
-            self._known[fragment] = found
-        return found
+    def fragment(self, fragment: bytes) -> bytes:
+        """Ids of a stretch between two certain cuts, as little-endian 32-bit integers."""
+        merge = self.merge if self._ranked is None else self._ranked._core_bpe.encode_single_piece
+        pieces = self.pattern.findall(fragment.decode())
+        ids = merge(fragment) if len(pieces) == 1 else chain.from_iterable(merge(piece.encode()) for piece in pieces)
+        return b"".join(map(self._packed.__getitem__, ids))
 
     def fragments(self, text: bytes) -> list[bytes]:
         """The text split at its certain cuts; joined, they are the text again."""
@@ -149,8 +144,8 @@ class ForcedBoundaryBPE:
         at = np.flatnonzero(self.cuts[(b[:-1].astype(np.uint16) << 8) | b[1:]]) + 1
         return np.insert(b, at, 0xFF).tobytes().split(b"\xff")  # 0xFF is in no UTF-8 text
 
-    def _plain(self, text: bytes) -> list[int]:
-        out: list[int] = []
+    def _plain(self, text: bytes) -> list[bytes]:
+        out: list[bytes] = []
         start = 0
         while start < len(text):
             end = start + WINDOW
@@ -163,24 +158,34 @@ class ForcedBoundaryBPE:
                 end += WINDOW
             frags = self.fragments(text[start:end])
             found = list(map(self._known.get, frags))
-            if None in found:
-                found = [self.fragment(frag) if ids is None else ids for frag, ids in zip(frags, found)]
-            out.extend(chain.from_iterable(found))
+            for k in [k for k, ids in enumerate(found) if ids is None]:
+                frag = frags[k]
+                ids = self._known.get(frag) or self._older.get(frag) or self.fragment(frag)
+                if len(frag) <= LONGEST_REMEMBERED:
+                    if len(self._known) >= REMEMBERED:
+                        self._known, self._older = {}, self._known
+                    self._known[frag] = ids
+                found[k] = ids
+            out += found
             start = end
         return out
 
-    def encode(self, text: str | None) -> list[int]:
+    def packed(self, text: str | None) -> bytes:
+        """The ids of a text, as little-endian 32-bit integers."""
         if not text:
-            return []
+            return b""
         if self.special_pattern is None or not any(s in text for s in self.special):
-            return self._plain(text.encode("utf-8", "replace"))
-        out: list[int] = []
+            return b"".join(self._plain(text.encode("utf-8", "replace")))
+        out: list[bytes] = []
         for part in self.special_pattern.split(text):
             if part in self.special:
-                out.append(self.special[part])
+                out.append(self._packed[self.special[part]])
             elif part:
                 out += self._plain(part.encode("utf-8", "replace"))
-        return out
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         size = len(self.tokens)
@@ -241,19 +246,19 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary
     Encoding and decoding run back to back in a worker, so that ids never travel between processes.
     """
 
-    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def made(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = encoder(vocabulary)
-        for batch in batches:
+        for batch in texts:
             n, a, b = [], [], []
-            for t in batch["text"]:
+            for t in batch:
                 ids = bpe.encode(t)
                 n.append(len(ids))
                 a.append(hashlib.sha256(bpe.decimals(ids).encode()).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
+            yield pd.DataFrame({"n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
 
-    few = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return few.mapInPandas(rows_of, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), made(f"`{text}`").alias("made")).select("doc_id", "made.*")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ Spark writes the images (through its commit protocol, so lost executors leave no
 binary column of a Parquet dataset in any file system; ``export`` in turn makes plain files of them.
 
 Null and empty texts give a document of only the end id. Rows are ordered by doc_id, null first, then
-text; repeated rows are documents of their own. An empty table gives an empty dataset.
+text; repeated rows are documents of their own. Long texts are one document, in as many blocks as they fill. An
+empty table gives an empty dataset. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from .bpe import VOCABULARY, encoder
 from .common import scratch, table
 
-MAGIC = b"PFR1"
-HEADER = struct.Struct("<4sHHIQQQ")  # magic, block, unused, documents, ids, packed words, exceptions
+MAGIC = b"PFR2"
+HEADER = struct.Struct("<4sIIIQQQ")  # magic, block, documents without an id, documents, ids, packed words, exceptions
 BLOCK = 128
 PERCENTILE = 90
 #: A shard is closed once it holds so many ids; one document is never split.
@@ -68,8 +69,8 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
-def pack(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
-    """The file image of documents whose ids lie end to end; a missing doc_id is the least long."""
+def pack(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray, missing: int = 0, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
+    """The file image of documents whose ids lie end to end; the first so many have no doc_id."""
     n = len(ids)
     blocks = -(-n // block)
     grid = np.empty(blocks * block, np.uint32)
@@ -91,7 +92,7 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray, block: int = BL
         low = diff[at] & np.uint32((1 << int(w)) - 1)
         packed[starts[at][:, None] + np.arange(words_of[at[0]])] = _pack_group(low, int(w))
     parts = [
-        HEADER.pack(MAGIC, block, 0, len(doc_ids), n, len(packed), len(row)),
+        HEADER.pack(MAGIC, block, missing, len(doc_ids), n, len(packed), len(row)),
         doc_ids.astype("<i8"), ends.astype("<u8"),
         starts[:-1].astype("<u4"), patches[:-1].astype("<u4"), least.astype("<u4"), width.astype("u1"),
         packed, high[row, col].astype("<u4"), col.astype("<u2"),
@@ -103,7 +104,7 @@ class Shard:
     """Reads a file image; nothing is unpacked before it is asked for."""
 
     def __init__(self, image: bytes) -> None:
-        magic, self.block, _, n_docs, self.n_ids, n_words, n_patches = HEADER.unpack_from(image)
+        magic, self.block, self.missing, n_docs, self.n_ids, n_words, n_patches = HEADER.unpack_from(image)
         if magic != MAGIC:
             raise ValueError("not a token-id shard")
         blocks, at = -(-self.n_ids // self.block), HEADER.size
@@ -142,40 +143,36 @@ class Shard:
         return self._blocks(first, -(-b // self.block))[a - first * self.block : b - first * self.block]
 
 
-NO_ID = np.iinfo(np.int64).min
-
-
 def write(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", vocabulary: str = VOCABULARY, end_id: int = 0) -> None:
-    """Encode documents in ascending order of their key, each followed by the end id, and write the shards to path."""
+    """Encode documents in ascending order of their key, those without one first, each followed by the end id, and write the shards to path."""
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, part = encoder(vocabulary), TaskContext.get().partitionId()
-        shard, base, size = 0, 0, 0
+        bpe, part, end = encoder(vocabulary), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
+        shard, base, size, missing = 0, 0, 0, 0
         keys: list[int] = []
-        held: list[np.ndarray] = []
+        held: list[bytes] = []
 
         def image() -> pd.DataFrame:
-            nonlocal shard, base, size, keys, held
-            ends = np.cumsum([len(x) for x in held])
-            row = pd.DataFrame({"part": [part], "shard": [shard], "base": [base], "n_docs": [len(keys)], "n_ids": [size], "image": [pack(np.concatenate(held), np.array(keys, np.int64), ends)]})
-            shard, base, size, keys, held = shard + 1, base + size, 0, [], []
+            nonlocal shard, base, size, missing, keys, held
+            ends = np.cumsum([len(x) // 4 for x in held])
+            made = pack(np.frombuffer(b"".join(held), "<u4"), np.array(keys, np.int64), ends, missing)
+            row = pd.DataFrame({"part": [part], "shard": [shard], "base": [base], "n_docs": [len(keys)], "n_ids": [size], "image": [made]})
+            shard, base, size, missing, keys, held = shard + 1, base + size, 0, 0, [], []
             return row
 
         for batch in batches:
-            missing = batch["k"].isna()
-            for k, t in zip(batch["k"].where(~missing, NO_ID).astype("int64"), batch["t"]):
-                ids = bpe.encode(t)
-                ids.append(end_id)
+            for none, k, t in zip(batch["none"], batch["k"], batch["t"]):
+                held.append(bpe.packed(t) + end)
                 keys.append(k)
-                held.append(np.array(ids, np.uint32))
-                size += len(ids)
+                missing += none
+                size += len(held[-1]) // 4
                 if size >= SHARD_IDS:
                     yield image()
         if keys:
             yield image()
 
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
-    rows.repartitionByRange("k").sortWithinPartitions("k", "t").mapInPandas(shards, SHARDS).write.parquet(path)
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
+    rows.select(F.col("k").isNull().alias("none"), F.coalesce("k", F.lit(0)).alias("k"), "t").mapInPandas(shards, SHARDS).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -199,7 +196,7 @@ def index(shards: DataFrame) -> DataFrame:
                 ids, ends = shard.all().astype("<u4"), shard.ends.astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
                 yield pd.DataFrame({
-                    "doc_id": pd.array([None if k == NO_ID else k for k in shard.doc_ids.tolist()], "Int64"),
+                    "doc_id": pd.arrays.IntegerArray(shard.doc_ids.astype(np.int64), np.arange(len(ends)) < shard.missing),
                     "start": starts + base + before[part], "n_tokens": ends - starts,
                     "ids_crc32": [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends)],
                 })

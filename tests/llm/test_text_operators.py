@@ -123,6 +123,16 @@ def test_token_files(spark, tmp_path, monkeypatch, shard_ids):
     assert n == len(list((tmp_path / "x").iterdir())) > 0
 
 
+def test_least_id_beside_null(spark, tmp_path):
+    least, most = -(2**63), 2**63 - 1
+    rows = [(least, "a"), (None, "b"), (most, "c"), (most - 1, None)]
+    pfor.write(docs_frame(spark, rows), f"file://{tmp_path}/t")
+    found = pfor.index(pfor.read(spark, f"file://{tmp_path}/t")).orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == [None, least, most - 1, most]
+    assert {r["doc_id"] for r in bpe.digests(docs_frame(spark, rows)).collect()} == {None, least, most - 1, most}
+    assert {r["doc_id"] for r in bytecnn.score(docs_frame(spark, rows), 0.5).collect()} == {None, least, most - 1, most}
+
+
 def test_no_token_files(spark, tmp_path):
     pfor.write(docs_frame(spark, []), f"file://{tmp_path}/t")
     assert pfor.index(pfor.read(spark, f"file://{tmp_path}/t")).count() == 0
