@@ -236,28 +236,25 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model |
     return train(*sample(docs, labels, rows))
 
 
-def score(docs: DataFrame, model: Model | float, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: the key as doc_id, and the score of its whole text."""
-
-    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scores(model: Model | float):
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tables = None if isinstance(model, float) else model.tables()
         for batch in batches:
-            p = predict(model, [t.encode() for t in batch["text"]], tables)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": p})
+            yield pd.Series(predict(model, [t.encode() for t in batch], tables))
+
+    return F.pandas_udf(scores, "double")
 
-    few = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), non_null_text(f"`{text}`").alias("text"))
-    return few.mapInPandas(rows_of, "doc_id long, score double")
+
+def score(docs: DataFrame, model: Model | float, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per row: the key as doc_id, and the score of its whole text."""
+
+    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), _scores(model)(non_null_text(f"`{text}`")).alias("score"))
 
 
 def keep(docs: DataFrame, model: Model | float, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score the threshold or more, with their own columns."""
 
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tables = None if isinstance(model, float) else model.tables()
-        for batch in batches:
-            yield pd.Series(predict(model, [t.encode() for t in batch], tables))
-
-    return docs.where(F.pandas_udf(scores, "double")(non_null_text(f"`{text}`")) >= threshold)
+    return docs.where(_scores(model)(non_null_text(f"`{text}`")) >= threshold)
 
 
 def held_out(key: str = "doc_id"):

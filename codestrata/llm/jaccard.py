@@ -79,15 +79,13 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def set_table(rows: DataFrame) -> DataFrame:
     """doc_id, n, sid of each document. rows: doc_id, text."""
 
-    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _parts(batches):
-            n, sid = [], []
-            for s in shingles.sets(_texts(batch)):
-                n.append(len(s))
-                sid.append(shingles.set_id(s))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "sid": sid})
+    @F.pandas_udf("n int, sid binary")
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(len(s), shingles.set_id(s)) for s in shingles.sets([t.encode("utf-8", "replace") for t in batch])]
+            yield pd.DataFrame(found, columns=["n", "sid"])
 
-    return rows.mapInPandas(rows_of, "doc_id long, n int, sid binary")
+    return rows.select("doc_id", made("text").alias("made")).select("doc_id", "made.*")
 
 
 def frequency_filters(rows: DataFrame, total: int) -> list[np.ndarray]:
