@@ -31,10 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and kept for the session.
+    Only where that is unset and all runs on one machine (as in tests) a temporary folder is made and kept for the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_SCRATCH, None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="codestrata-")
         spark.conf.set(OWN_SCRATCH, root)
     return f"{root.rstrip('/')}/codestrata/{label}-{uuid.uuid4().hex}"
@@ -45,7 +48,17 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     small_batches(df.sparkSession)
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``saved`` wrote, once nothing that is still to run reads it."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:

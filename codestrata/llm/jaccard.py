@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .bpe import free_name
-from .common import non_null_text, partitions, saved, table
+from .common import discard, non_null_text, partitions, saved, table
 
 PERCENT = 80
 #: How many documents make a shingle frequent, and the most bits of the filter that says so: 32, 8 and 4 MB.
@@ -359,13 +359,14 @@ def connected(edges: DataFrame) -> DataFrame:
 
     edges, state = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while state[0]:
-        before = state
+        before, old = state, edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("x"), "m", "u")
         edges, state = written(small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        discard(old)
         if state == before:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -388,17 +389,25 @@ def linked_sets(sets: DataFrame, rows: DataFrame) -> DataFrame:
     whole = F.struct("leader", "n", "linked", "has", "besides")
     order = F.struct(F.col("j") >= POPULAR, F.coalesce("fame", F.lit(0)), "j", "leader")
     groups = saved(compared.join(fame, "leader", "left").groupBy("sid").agg(F.max_by(whole, order).alias("g")).select("sid", "g.*"), "groups")
-    found = compared.where("linked").select(F.col("sid").alias("a"), F.col("leader").alias("b"))
+    found = saved(compared.where("linked").select(F.col("sid").alias("a"), F.col("leader").alias("b")), "linked")
+    discard(stars, compared)
     inside = saved(inside_groups(groups), "inside")
-    across = saved(verified(saved(across_groups(entries, groups), "pairs"), active), "across")
-    return found.unionByName(inside).unionByName(across)
+    pairs = saved(across_groups(entries, groups), "pairs")
+    discard(entries, groups)
+    across = saved(verified(pairs, active), "across")
+    discard(pairs, active)
+    links = saved(found.unionByName(inside).unionByName(across), "links")
+    discard(found, inside, across)
+    return links
 
 
 def _classes(docs: DataFrame, text: str, key: str) -> DataFrame:
     """Per row: doc_id, n, sid; and the set that names its class, and the smallest doc_id in that (null without one)."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), non_null_text(f"`{text}`").alias("text"))
     sets = saved(set_table(rows), "sets")
-    component = connected(linked_sets(sets, rows).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    links = linked_sets(sets, rows)
+    component = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    discard(links)
     nodes = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     # written first, so that the joins' sides are plain exchanges, whose large partitions Spark can split
     labelled = saved(nodes.join(component.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("class")), "classes")

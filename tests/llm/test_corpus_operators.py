@@ -463,3 +463,70 @@ def test_pipeline_stages(spark, tmp_path):
     assert sum(passage in (t or "") for t in cut.values()) == 1
     assert {r["doc_id"] for r in frames[4].collect()} == {r["doc_id"] for r in frames[3].collect()}
     assert frames[4].columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+PIPE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Each stage against a brute-force version of it, on what the stage before has left, with clashing columns."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from tokenizers import Tokenizer
+
+    from codestrata.llm import bpe, bytecnn
+
+    r = random.Random(17)
+    words = [f"w{k}" for k in range(500)]
+    passage = " ".join(r.choices(words, k=60)) + "."
+    rows = []
+    for k in range(70):
+        body = ". ".join(" ".join(r.choices(words, k=r.choice([3, 12, 25]))) for _ in range(r.randint(1, 8)))
+        rows.append([k, body if k % 5 else body.replace(" ", "*** "), "en", r.choice(["a", "b", None]), len(body)])
+    for k in range(70, 90):
+        base = rows[r.randrange(70)][1]
+        rows.append([k, r.choice([base, base + " more", base + "\n" + passage, passage + " " + base]), "en", "a", None])
+    rows += [[200, None, None, None, None], [201, "", "en", "b", 0], [None, "some words of no document " * 9, "en", "b", 5], [202, "long " * 30000, "en", "a", 9], rows[3], rows[3]]
+    docs = clashing(spark.createDataFrame(rows, PIPE))
+    columns = docs.columns
+    spark.createDataFrame([(k, int(k % 5 > 0)) for k in range(70)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    folder, frames = f"file://{tmp_path}", []
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        made = stage(spark, docs, folder)
+        assert k == 4 or (made.columns == columns and made.schema["doc_id"].dataType == docs.schema["doc_id"].dataType)
+        made.write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+        frames.append([x.asDict() for x in docs.collect()])
+    held = sorted((x["doc_id"] is not None, x["doc_id"] or 0, x["text"] or "", x["source"] or "", x["n_chars"] or -1) for x in frames[0])
+    # 1: the network's score decides, row by row
+    model = bytecnn.fit(spark.createDataFrame(rows, PIPE), spark.read.parquet(f"{tmp_path}/labels.parquet").where(~bytecnn.held_out()))
+    score = bytecnn.predict(model, [(x[1] or "").encode() for x in rows])
+    want = sorted((x[0] is not None, x[0] or 0, x[1] or "", x[3] or "", x[4] or -1) for x, p in zip(rows, score) if p >= bytecnn.THRESHOLD)
+    assert held == want and 0 < len(held) < len(rows)
+    # 2: one of each class
+    known = [(x["doc_id"], x["text"]) for x in frames[0] if x["doc_id"] is not None]
+    least = {k: c for k, _, c in brute_classes(known)}
+    stay = Counter(k for k in {k for k, c in least.items() if k == c})
+    assert Counter(x["doc_id"] for x in frames[1] if x["doc_id"] is not None) == stay and sum(x["doc_id"] is None for x in frames[1]) == 1
+    # 3: passages
+    left = brute_dedup([(x["doc_id"], x["text"]) for x in frames[1]], passages.LEAST)
+    want = Counter((x["doc_id"], t or "") for x, t in zip(frames[1], [left[i] for i in range(len(frames[1]))]) if t == (x["text"] or "") or WORD.search(t))
+    assert Counter((x["doc_id"], x["text"] or "") for x in frames[2]) == want
+    assert sum(passage in (x["text"] or "") for x in frames[2]) <= 1
+    # 4: the mix, slot by slot
+    order = sorted(frames[2], key=lambda x: (x["doc_id"] is not None, x["doc_id"] or 0, len(WORD.findall(x["text"] or "")), x["text"] or ""))
+    _, texts = brute_mix([(x["doc_id"], x["text"], x["source"]) for x in order], mixing.BLOCK, mixing.SHARD, mixing.SEED)
+    key = lambda x: (str(x[0]), x[1])
+    assert sorted(((x["doc_id"], WORD.findall(x["text"])) for x in frames[3]), key=key) == sorted(((order[i]["doc_id"], w) for (i, _), w in texts.items()), key=key)
+    # 5: the public library's ids
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    library.no_truncation()
+    library.no_padding()
+    ids = [library.encode(x["text"], add_special_tokens=False).ids for x in frames[3]]
+    assert Counter((x["doc_id"], x["n_tokens"]) for x in frames[4]) == Counter((x["doc_id"], len(i)) for x, i in zip(frames[3], ids))
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    clashing(spark.createDataFrame([], PIPE)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.run(spark, f"file://{tmp_path}").count() == 0
