@@ -9,6 +9,12 @@ and a lost executor costs only tasks of the stage at hand. Each stage works on a
 3. Passages that an earlier document holds are cut out; a document that loses all its words goes.
 4. Sources are mixed to their target weights: a row for each pass of the mix over its document, with the words taken.
 5. Texts are encoded, and decoded for the digest: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+A null or empty text scores like a text without faults and is linked with nothing; the mix takes none of its words,
+so it has no row after stage 4. A null doc_id is never the smallest of a class and stays there; a null source is one
+more source; null n_chars stay null where the text stays. Texts of any length are read whole. Ties and repeated rows: equal texts are one
+class and their smallest doc_id stays, once; rows without words stay until stage 4. Empty tables give empty tables. Other columns
+are kept through stage 4, whatever their names, and n_chars is brought up to date where the text changes.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import bpe, bytecnn, jaccard, mixing, passages
-from codestrata.llm.common import WORD, saved, table
+from codestrata.llm.common import WORD, discard, saved, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,14 +61,17 @@ STAGES = [
     ("BPE encoding", encoded),
 ]
 
-#: A trained network and pseudorandom draws are not expressible in SQL; tests hold the stages against brute force.
+#: A trained network and pseudorandom draws are not expressible in SQL; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = saved(docs, f"stage-{k}")
+            made = saved(made, f"stage-{k}")
+            if k:
+                discard(docs)
+        docs = made
     return docs
