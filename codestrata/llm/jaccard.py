@@ -85,7 +85,7 @@ def set_table(rows: DataFrame) -> DataFrame:
             found = [(len(s), shingles.set_id(s)) for s in shingles.sets([t.encode("utf-8", "replace") for t in batch])]
             yield pd.DataFrame(found, columns=["n", "sid"])
 
-    return rows.select("doc_id", made("text").alias("made")).select("doc_id", "made.*")
+    return rows.select("doc_id", made.asNondeterministic()("text").alias("made")).select("doc_id", "made.*")
 
 
 def frequency_filters(rows: DataFrame, total: int) -> list[np.ndarray]:

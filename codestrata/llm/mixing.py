@@ -297,7 +297,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
             out.append("\n".join(raw[edge[a] : edge[b]].decode().strip() for a, b in runs))
         return pd.Series(out, dtype=object)
 
-    found = rows.join(spans, "row").select("doc_id", "source", *others.values(), cut("text", "spans").alias("text"))
+    found = rows.join(spans, "row").select("doc_id", "source", *others.values(), cut.asNondeterministic()("text", "spans").alias("text"))
     if "n_chars" in others:
         found = found.withColumn(others["n_chars"], F.length("text"))
     kind = {f.name: f.dataType for f in docs.schema}

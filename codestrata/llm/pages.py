@@ -434,7 +434,7 @@ def extract(pages: DataFrame, noise: DataFrame | None = None) -> DataFrame:
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     joined = rows.withColumn("host", host_column("url")).join(hosts, "host", "left")
-    found = joined.select("page_id", "url", texts("html", "plain", "doubt").alias("text"))
+    found = joined.select("page_id", "url", texts.asNondeterministic()("html", "plain", "doubt").alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 

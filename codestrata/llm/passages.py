@@ -7,8 +7,8 @@ Neighbouring repeats are a run; units without words between two repeats belong t
 or more is a copied passage and is removed, each unit with its original offsets in code points. So text that
 occurs once always stays, and so does a short phrase that many documents share; ``least=1`` removes every repeat.
 
-Digests are grouped once. A worker first drops the repeats within each batch that it reads, which are
-never the earliest, so even a unit that a third of all texts hold reaches its group only once a batch.
+Digests are grouped once. A worker first drops the repeats within each ROWS texts that it reads, which are
+never the earliest, so even a unit that a third of all texts hold reaches its group only once for those.
 
 Null texts count as empty and stay so. Repeated rows are documents of their own, in the order in which they
 are read; a null doc_id comes first. A document that loses all its words stays in ``dedup`` with what is left.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ from .common import non_null_text, saved, table
 LEAST = 20
 UNIT = r"[^.!?;:,\n]+[.!?;:,\n]*|[.!?;:,\n]+"
 _UNIT = re.compile(UNIT)
+#: Texts whose units a worker holds at a time.
+ROWS = 1024
 CANDIDATES = "row long, doc_id long, unit int, sure boolean, h1 long, h2 long"
 
 
@@ -57,24 +60,26 @@ def repeats(rows: DataFrame) -> DataFrame:
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            row, doc, unit, raw = [], [], [], []
-            for r, d, text in zip(batch["row"], batch["doc_id"], batch["text"]):
-                for k, u in enumerate(units(text)):
-                    h = digest(u)
-                    if h is not None:
-                        row.append(r)
-                        doc.append(d)
-                        unit.append(k)
-                        raw.append(h)
-            if not row:
-                continue
-            h = np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
-            row, doc, unit = np.array(row, np.int64), np.array(doc, np.int64), np.array(unit, np.int32)
-            order = np.lexsort((unit, row, doc, h[:, 1], h[:, 0]))
-            again = np.zeros(len(row), bool)
-            again[order[1:]] = (h[order[1:]] == h[order[:-1]]).all(axis=1)
-            h1, h2 = np.where(again, row, h[:, 0]), np.where(again, unit, h[:, 1])  # spread over the tasks
-            yield pd.DataFrame({"row": row, "doc_id": doc, "unit": unit, "sure": again, "h1": h1, "h2": h2})
+            for at in range(0, len(batch), ROWS):
+                part = batch.iloc[at : at + ROWS]
+                count, number, raw = [], array("i"), bytearray()
+                for text in part["text"]:
+                    before = len(number)
+                    for k, u in enumerate(units(text)):
+                        h = digest(u)
+                        if h is not None:
+                            number.append(k)
+                            raw += h
+                    count.append(len(number) - before)
+                if not raw:
+                    continue
+                h, unit = np.frombuffer(raw, "<i8").reshape(-1, 2), np.frombuffer(number, np.int32)
+                row, doc = np.repeat(part["row"].to_numpy(), count), np.repeat(part["doc_id"].to_numpy(), count)
+                order = np.lexsort((unit, row, doc, h[:, 1], h[:, 0]))
+                again = np.zeros(len(row), bool)
+                again[order[1:]] = (h[order[1:]] == h[order[:-1]]).all(axis=1)
+                h1, h2 = np.where(again, row, h[:, 0]), np.where(again, unit, h[:, 1])  # spread over the tasks
+                yield pd.DataFrame({"row": row, "doc_id": doc, "unit": unit, "sure": again, "h1": h1, "h2": h2})
 
     first = F.coalesce("doc_id", F.lit(-(2**63)))
     found = rows.select("row", first.alias("doc_id"), "text").mapInPandas(rows_of, CANDIDATES)
@@ -133,7 +138,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int =
         return pd.DataFrame(out, columns=["text", "n", "starts", "stops"])
 
     span = lambda s: F.struct(s["starts"].alias("start"), s["stops"].alias("stop"))
-    made = joined.withColumn(done, cut(f"`{text}`", F.col(again)))
+    # else a filter on the result would run it once more below this projection
+    made = joined.withColumn(done, cut.asNondeterministic()(f"`{text}`", F.col(again)))
     return made.select(
         *[F.col(f"`{done}`.text").alias(c) if c == text else F.col(f"`{c}`") for c in names],
         F.col(f"`{done}`.n").alias(count), F.transform(F.arrays_zip(F.col(f"`{done}`.starts"), F.col(f"`{done}`.stops")), span).alias(spans),
