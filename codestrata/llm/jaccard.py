@@ -361,12 +361,13 @@ def connected(edges: DataFrame) -> DataFrame:
     while state[0]:
         before, old = state, edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # written first, so that both sides of each join are plain exchanges, and a hub's rows can be split
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = saved(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        small_least = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(small_least, "u").select(F.col("v").alias("x"), "m", "u")
         edges, state = written(small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        discard(old)
+        discard(old, least, large, small_least)
         if state == before:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
