@@ -36,7 +36,7 @@ class GoSyntaxError(ValueError):
 
 @dataclass(slots=True)
 class Token:
-    kind: str  # name, keyword, number, string, rune, op, end
+    kind: str  # name, keyword, number, string, rune, op, bad, end
     text: str
     at: int
     end: int
@@ -55,8 +55,10 @@ def tokens(source: str) -> list[Token]:
     n = len(source)
     while at < n:
         found = TOKEN.match(source, at)
-        if not found:
-            raise GoSyntaxError(f"unexpected character {source[at]!r}", at)
+        if not found:  # no token of the language: whoever meets it stops there
+            out.append(Token("bad", source[at], at, at + 1))
+            at += 1
+            continue
         kind, text, at = found.lastgroup, found[0], found.end()
         if kind in ("space", "comment"):
             continue

@@ -114,15 +114,35 @@ class Parser:
             found.package, found.package_place = utf8(t.text), self.place(t.at)
             found.file_place = self.place(self.tokens[0].at)
             self.end_of_statement()
-            while self.now.kind != "end":
-                if self.accept(";"):
-                    continue
-                self.declaration(top=True)
         except GoSyntaxError as e:
-            line, col = self.place(min(e.at, len(self.source)))
-            found.error = (f"{line}:{col}", str(e))
+            self.report(e)
+            return found
+        while self.now.kind != "end":
+            if self.accept(";"):
+                continue
+            try:
+                self.declaration(top=True)
+            except GoSyntaxError as e:
+                self.report(e)
+                self.go_on(e.at)
+        found.types = [t for t in found.types if t]
         return found
 
+    def report(self, e: GoSyntaxError) -> None:
+        """Keep the file's first error."""
+        if self.found.error is None:
+            line, col = self.place(min(e.at, len(self.source)))
+            self.found.error = (f"{line}:{col}", str(e))
+
+    def go_on(self, after: int) -> None:
+        """To the next declaration that begins a line after a syntax error, so that one costs no later rows."""
+        self.level = 0
+        while self.now.kind != "end":
+            t = self.now
+            if t.at > after and t.kind == "keyword" and t.text in ("func", "type", "var", "const", "import") and self.place(t.at)[1] == 1:
+                return
+            self.i += 1
+
     def declaration(self, top: bool) -> None:
         if self.at("import"):
             self.group(self.import_spec)
@@ -262,12 +282,15 @@ class Parser:
         elif self.starts_type():
             self.type()
 
-    def starts_type(self) -> bool:
-        return self.now.kind == "name" or self.at("*", "[", "struct", "interface", "map", "chan", "func", "(", "<-")
+    def starts_type(self, t: Token | None = None) -> bool:
+        t = t or self.now
+        return t.kind == "name" or t.kind in ("op", "keyword") and t.text in ("*", "[", "struct", "interface", "map", "chan", "func", "(", "<-")
 
     def parameters(self, close: str) -> None:
-        """Names and types up to the closing bracket; which is which is of no matter here."""
+        """Names and types up to the closing bracket; which is which is of no matter but before a [."""
         while not self.accept(close):
+            if self.now.kind == "name" and self.ahead().text == "[" and self._array_follows():
+                self.take()  # a name, and then an array's type
             self.accept("...")
             self.constraint()
             if not self.at(",", close):
@@ -276,6 +299,18 @@ class Parser:
             if not self.at(close):
                 self.expect(",")
 
+    def _array_follows(self) -> bool:
+        """Whether the brackets after a name are an array's length: then an element type follows, as it can't after type arguments."""
+        depth, j = 0, self.i + 1
+        while self.tokens[j].kind != "end":
+            t = self.tokens[j]
+            if t.kind == "op":
+                depth += (t.text in ("(", "[", "{")) - (t.text in (")", "]", "}"))
+                if not depth:
+                    return self.starts_type(self.tokens[j + 1])
+            j += 1
+        return False
+
     def constraint(self) -> None:
         while True:
             self.accept("~")
@@ -583,8 +618,4 @@ class Parser:
 
 
 def parse(data: bytes) -> Parsed:
-    try:
-        return Parser(data).file()
-    except GoSyntaxError as e:  # the text has no tokens
-        line, col = Lines(data.decode("latin-1")).place(e.at)
-        return Parsed(error=(f"{line}:{col}", str(e)))
+    return Parser(data).file()

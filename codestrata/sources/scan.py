@@ -147,6 +147,8 @@ def scan(spark: SparkSession, folder: str, report: Callable[[str], None] = lambd
                 if test and not include_tests or not name_fits(name, holds) or not build_fits(data, holds):
                     continue
                 p = parse(data)
+                if max(map(len, (p.imports, p.types, p.functions, p.variables, p.calls))) > PER_FILE:
+                    raise ValueError(f"{path}: more than {PER_FILE} rows of one kind in a file")
                 package = "/".join([module, *parts]) + ("_test" if test and p.package.endswith("_test") else "")
                 pos, message = p.error or ("", "")
                 rows.append((package, p.package, path, test, *p.file_place, *p.package_place, f"{path}:{pos}" if message else "", message, p.imports, p.types, p.functions, p.variables, p.calls))

@@ -187,3 +187,34 @@ def test_reports(spark, tmp_path):
     load_report(spark, lay(tmp_path / "m"), said.append)
     assert any("packages 3, files 3" in s for s in said)
     assert set(cache_report(spark, str(tmp_path / "m"), str(tmp_path / "c"), said.append)) == {"cold", "warm"}
+
+
+ARRAYS = b"""package p
+
+type I interface {
+	Put(key [32]byte, m M[string, int]) [4]int
+	Get(a, b [N * 2]byte) (out [N]int, err error)
+	M[int, string]
+}
+
+func f1(key [32]byte) int { return c1(key) }
+func f2(a, b [4]int, c [N*2]byte, d ...[2]int) (x [4]int, y M[int, string]) { return c2(a) }
+func f3(m M[K, V], M[int, int]) { c3() }
+func f4[T [4]int | ~string, U M[string, [2]int]](t T, fn func([3]int, x [2]string) [2]bool) { k := func(z [len("ab")]int) {}; k(z) }
+func (r *R) m1(p [N][2]string, q []int, s map[[2]int]string) *[3]byte { return r.c4(p) }
+func f5(x pkg.G[int], y *pkg.G[[2]int], w [2]pkg.G[int], v ...G[int]) { c5() }
+func f6() M[int, string] { return c6() }
+func f7(a [4]*int, b [4]func(), c [4]chan int, d [4]struct{ e int }, e [4]interface{}, f [4](int), g [4]<-chan int) { c7() }
+"""
+
+
+def test_array_parameters_of_every_kind():
+    p = parse(ARRAYS)
+    assert p.error is None and [r[3] for r in p.functions] == ["f1", "f2", "f3", "f4", "m1", "f5", "f6", "f7"]
+    assert [r[3] for r in p.calls] == ["c1", "c2", "c3", "len", "k", "r.c4", "c5", "c6", "c7"]
+
+
+def test_a_syntax_error_costs_no_later_declaration():
+    p = parse(b"package p\nfunc a(x int { b() }\n\nfunc c() { d() }\ntype T struct{ x [}\nvar v = '\nconst k = \"x\nfunc e() { g() }\n\x01\ntype U int\n")
+    assert [r[3] for r in p.functions] == ["a", "c", "e"] and [r[3] for r in p.calls] == ["d", "g"] and [r[3] for r in p.types] == ["T", "U"] and p.error[0] == "2:14"
+    assert [r[3] for r in p.variables] == ["v", "k"] and parse(b"").error and parse(b"\x00").error
