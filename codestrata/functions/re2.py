@@ -195,7 +195,8 @@ class _Translator:
         if "U" in found[1] + (found[2] or ""):
             raise self.fail("the ungreedy flag is not supported")
         m = True if "m" in found[1] else False if "m" in (found[2] or "") else self.multiline[-1]
-        self.take(found[0])
+        self.i = found.end()  # RE2 folds the case of all letters, Java without u that of ASCII's
+        self.out.append(f"(?{found[1].replace('i', 'iu', 1)}{'-' + found[2] if found[2] else ''}{found[3]}")
         if found[3] == ":":
             self.multiline.append(m)
         else:

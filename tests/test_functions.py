@@ -42,7 +42,7 @@ FOUND = [
     (r"b$", "ab\n", False), (r"b$", "ab", True), (r"(?m)b$", "ab\nc", True), (r"(?P<n_1>a)b", "ab", True), (r"[[:alpha:]]+1", "a1", True), (r"[[:alpha:]]+1", ":1", False),
     (r"x.y", "x\ry", True), (r"x.y", "x\ny", False), (r"(?s)x.y", "x\ny", True), (r"a\sb", "a\x0bb", False), (r"a\sb", "a\tb", True), (r"[\s]", "\x0b", False), (r"[\S]", " ", False),
     (r"\bé", "é", False), (r"\bab\b", "x ab.", True), (r"[[a]", "[", True), (r"[a&&b]", "&", True), (r"a{,2}", "a{,2}", True), (r"\pL+$", "éa", True), (r"\p{Greek}", "α", True), (r"\P{Greek}", "α", False),
-    (r"\x{41}", "A", True), (r"\Qa.b\E", "axb", False), (r"[^[:^digit:]]", "5", True), (r"[]a]", "]", True), (r"(?i)AB", "ab", True), (r"a{2,3}", "aa", True), (r"\v", "\x0b", True), (r"a|b*", "", True),
+    (r"\x{41}", "A", True), (r"\Qa.b\E", "axb", False), (r"[^[:^digit:]]", "5", True), (r"[]a]", "]", True), (r"(?i)AB", "ab", True), (r"(?i)é", "É", True), (r"(?i)ж", "Ж", True), (r"(?i:é)é", "Éé", True), (r"(?i:é)é", "ÉÉ", False), (r"(?i)a(?-i)é", "AÉ", False), (r"é", "É", False), (r"a{2,3}", "aa", True), (r"\v", "\x0b", True), (r"a|b*", "", True),
 ]
 
 
