@@ -1,15 +1,12 @@
 """The graph of packages that import each other, and what reaches what in it.
 
 Reachability is a semi-naive fixpoint: each round follows the edges of the nodes found in the round before,
-and drops those that are known. A round's nodes are written to the session's shared scratch folder, so plans
-stay short and a lost executor costs no round. Where the distinct edges fit a stated bound, the rounds run on
-the driver over their collected list instead; the bound is checked on each graph.
+and drops those that are known. Edges and each round's nodes are written to the session's shared scratch folder, so plans
+stay short and a lost executor costs no round.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,23 +15,17 @@ from codestrata.sources.scratch import saved
 
 from .relations import Dependencies
 
-#: Distinct edges up to which a closure is computed on the driver.
-SMALL = 200_000
-
 
 class PackageGraph:
     """Distinct edges src, dst between packages of the workspace."""
 
-    def __init__(self, edges: DataFrame, small: int = SMALL) -> None:
+    def __init__(self, edges: DataFrame) -> None:
         self.edges = edges.select("src", "dst").distinct()
-        self.small = small
-        self._adjacent: dict[str, list[str]] | None = None
-        self._measured = False
 
     @classmethod
-    def of(cls, dependencies: Dependencies, small: int = SMALL) -> PackageGraph:
+    def of(cls, dependencies: Dependencies) -> PackageGraph:
         inside = dependencies.frame.where("within_workspace")
-        return cls(inside.select(F.col("package_id").alias("src"), F.col("import_path").alias("dst")), small)
+        return cls(inside.select(F.col("package_id").alias("src"), F.col("import_path").alias("dst")))
 
     def nodes(self) -> DataFrame:
         """Every package with an edge, in order."""
@@ -50,38 +41,18 @@ class PackageGraph:
         hit = package_matches(F.col("src"), *sources) & package_matches(F.col("dst"), *targets)
         return not self.edges.where(hit).isEmpty()
 
-    def _list(self) -> dict[str, list[str]] | None:
-        """The edges as a list if there are few enough of them."""
-        if not self._measured:
-            self._measured = True
-            rows = self.edges.limit(self.small + 1).collect()
-            if len(rows) <= self.small:
-                self._adjacent = defaultdict(list)
-                for r in rows:
-                    self._adjacent[r["src"]].append(r["dst"])
-        return self._adjacent
-
     def transitive_dependencies(self, *patterns: str) -> DataFrame:
         """Packages reached by one hop or more; a source is among them if another source or a cycle leads to it."""
-        spark = self.edges.sparkSession
-        first = [r["id"] for r in self.direct_dependencies(*patterns).limit(self.small + 1).collect()]
-        adjacent = self._list()
-        if adjacent is None:
-            return self._fixpoint(self.direct_dependencies(*patterns)).orderBy("id")
-        seen, queue = set(first), list(first)
-        while queue:
-            new = {d for n in queue for d in adjacent.get(n, ())} - seen
-            seen |= new
-            queue = list(new)
-        return spark.createDataFrame([(n,) for n in sorted(seen)], "id string").orderBy("id")
-
-    def _fixpoint(self, first: DataFrame, target=None) -> DataFrame:
-        frontier = saved(first, "reach")
+        return self._fixpoint(patterns).orderBy("id")
+
+    def _fixpoint(self, patterns: tuple[str, ...] | list[str], target=None) -> DataFrame:
+        edges = saved(self.edges, "edges")
+        frontier = saved(PackageGraph(edges).direct_dependencies(*patterns), "reach")
         known = frontier
         while True:
             if target is not None and not frontier.where(target).isEmpty():
                 return frontier.where(target)
-            step = self.edges.join(frontier, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
+            step = edges.join(frontier, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
             frontier = saved(step.join(known, "id", "left_anti"), "reach")
             if frontier.isEmpty():
                 return known if target is None else known.where(F.lit(False))
@@ -89,7 +60,4 @@ class PackageGraph:
 
     def transitively_reaches(self, sources: list[str], targets: list[str]) -> bool:
         """Whether a package of sources reaches one of targets by one hop or more; stops at the first that does."""
-        hit = package_matches(F.col("id"), *targets)
-        if self._list() is None:
-            return not self._fixpoint(self.direct_dependencies(*sources), hit).isEmpty()
-        return not self.transitive_dependencies(*sources).where(hit).isEmpty()
+        return not self._fixpoint(sources, package_matches(F.col("id"), *targets)).isEmpty()

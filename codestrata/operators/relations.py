@@ -8,6 +8,7 @@ Predicates are functions from a row's columns to a Column; a plain Python predic
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from types import SimpleNamespace
 from typing import Any, Self
 
@@ -27,19 +28,33 @@ def columns_of(frame: DataFrame) -> SimpleNamespace:
     return SimpleNamespace(**{c: frame[c] for c in frame.columns})
 
 
-def native(matcher: Callable[..., Any], frame: DataFrame) -> Column:
-    """The matcher's Column; if it can't work on Columns, it is called row by row in a UDF."""
-    try:
-        made = matcher(columns_of(frame))
-    except Exception:
-        made = None
-    if isinstance(made, Column):
-        return made
+@dataclass(frozen=True)
+class ByRow:
+    """A predicate on Python values, called row by row in a UDF: slower than one on Columns, and so never by itself."""
+
+    test: Callable[[Any], Any]
+
+
+def by_row(test: Callable[[Any], Any]) -> ByRow:
+    if not callable(test):
+        raise TypeError("a predicate is a function")
+    return ByRow(test)
+
+
+def native(matcher: Callable[..., Any] | ByRow, frame: DataFrame) -> Column:
+    """The matcher's Column. What goes wrong in the matcher is raised; Python values are had through ``by_row`` alone."""
+    if isinstance(matcher, ByRow):
+        names, test = frame.columns, matcher.test
+        return F.udf(lambda *values: bool(test(SimpleNamespace(**dict(zip(names, values))))), "boolean")(*[frame[c] for c in names])
+    return _column(matcher(columns_of(frame)))
+
+
+def _column(made: Any) -> Column:
     if isinstance(made, bool):
         return F.lit(made)
-    names = frame.columns
-    called = F.udf(lambda *values: bool(matcher(SimpleNamespace(**dict(zip(names, values))))), "boolean")
-    return called(*[frame[c] for c in names])
+    if not isinstance(made, Column):
+        raise TypeError(f"a predicate returns a Column, not {type(made).__name__}; wrap one on Python values in by_row()")
+    return made
 
 
 class Relation:
@@ -125,7 +140,7 @@ class Named(Relation):
         return self.where(~patterns.is_exported(F.col("name")))
 
     def name_matches(self, test: Callable[[Any], Any]) -> Self:
-        """Names that a predicate accepts: from Column to Column, or from str to bool through a UDF."""
+        """Names that a predicate accepts: from Column to Column, or, wrapped in ``by_row``, from str to bool."""
         return self.where(name_test(test))
 
     def name_matches_regex(self, pattern: str) -> Self:
@@ -133,14 +148,13 @@ class Named(Relation):
         return self.where(F.col("name").rlike(to_java(pattern)))
 
 
-def name_test(test: Callable[[Any], Any]) -> Column:
+def name_test(test: Callable[[Any], Any] | ByRow) -> Column:
+    if isinstance(test, ByRow):
+        own = test.test
+        return F.udf(lambda n: bool(own(n)), "boolean")(F.col("name"))
     if not callable(test):
         raise TypeError("a name predicate is a function")
-    try:
-        made = test(F.col("name"))
-    except Exception:
-        made = None
-    return made if isinstance(made, Column) else F.udf(lambda n: bool(test(n)), "boolean")(F.col("name"))
+    return _column(test(F.col("name")))
 
 
 def attached(frame: DataFrame, key: str, dependencies: Dependencies, by: str) -> DataFrame:
@@ -274,6 +288,18 @@ class Dependencies(Relation):
         """import_path, how many dependencies have it, and the distinct packages that do, in order."""
         return self.frame.groupBy("import_path").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("package_id")).alias("sources"))
 
+    def rows_by_source_package(self) -> DataFrame:
+        """The rows, those of a package together and in their order. A range sort splits a package of any size over tasks."""
+        return self.frame.orderBy("package_id", "ord")
+
+    def rows_by_target_package(self) -> DataFrame:
+        """The rows, those with an import path together and in their order."""
+        return self.frame.orderBy("import_path", "ord")
+
+    def targets_by_source_package(self) -> DataFrame:
+        """package_id, import_path, n: a row for each pair, so that no package's targets are gathered in one row."""
+        return self.frame.groupBy("package_id", "import_path").agg(F.count(F.lit(1)).alias("n")).orderBy("package_id", "import_path")
+
     def by_source_package(self) -> dict[str, Dependencies]:
         """A lazily filtered relation for each source package."""
         return {r["package_id"]: self.where(F.col("package_id") == r["package_id"]) for r in self.unique_source_packages().collect()}

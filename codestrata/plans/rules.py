@@ -12,7 +12,7 @@ from typing import Any, Self
 
 from pyspark.sql import DataFrame
 
-from codestrata.functions.formatting import REPORT, format_refs
+from codestrata.functions.formatting import REPORT, format_ref, join_refs
 from codestrata.functions.re2 import to_java
 from codestrata.operators.relations import Matcher, Relation
 
@@ -122,9 +122,10 @@ class BaseRule:
         if self._should_exist:
             if refs.isEmpty():
                 raise RuleViolation(f'rule "{self.name}" not satisfied: expected at least one match but found none')
-        elif text := format_refs(refs, REPORT):
-            n = refs.count()
-            raise RuleViolation(f'rule "{self.name}" violated: {n} match(es)\n{text}')
+        else:
+            found = [r["text"] for r in refs.select("ord", format_ref(REPORT).alias("text")).orderBy("ord").toLocalIterator()]
+            if found:  # one run: what is counted is what is shown
+                raise RuleViolation(f'rule "{self.name}" violated: {len(found)} match(es)\n{join_refs(found, REPORT.separator)}')
 
 
 class Existing(BaseRule):

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.formatting import format_refs, joined
 from codestrata.operators.graph import PackageGraph
-from codestrata.operators.relations import Dependencies, Files, FunctionCalls, Functions, Packages, Types, Variables
+from codestrata.operators.relations import Dependencies, Files, FunctionCalls, Functions, Packages, Types, Variables, by_row
 from codestrata.operators.tree import tree
 
 P = "m.io/app"
@@ -33,7 +33,11 @@ def test_dependency_filters(deps):
 
 
 def test_python_predicates_run_as_udfs(deps):
-    assert deps.match(lambda c: len(c.import_path) == 3 and c.import_path.upper() == "FMT").count() == 1
+    assert deps.match(by_row(lambda c: len(c.import_path) == 3 and c.import_path.upper() == "FMT")).count() == 1
+    for wrong in (lambda c: c.name == "and" and c.import_path == "", lambda c: len(c.import_path) == 3, lambda c: None, lambda c: "x"):
+        with pytest.raises(Exception):
+            deps.match(wrong)
+    assert deps.match(lambda c: True).count() == deps.frame.count()
 
 
 def test_filters_become_one_condition(deps):
@@ -72,7 +76,7 @@ def test_names_and_receivers(spark):
     assert f.is_method().len() == 3 and f.is_function().len() == 2
     assert f.has_receiver("Repo").len() == 2 and f.has_receiver("").len() == 5 and f.has_receiver("repo").len() == 0
     assert f.name_matches(lambda n: n.startswith("S")).len() == 1
-    assert f.name_matches(lambda n: n[:1] in ("f", "N") and len(n) > 2).len() == 2
+    assert f.name_matches(by_row(lambda n: n[:1] in ("f", "N") and len(n) > 2)).len() == 2
     assert f.name_matches_regex("^[A-Z]").len() == 2
     assert f.is_exported().is_unexported().len() == 0
     for bad in ("(", "(?=a)"):
@@ -109,10 +113,17 @@ def test_packages(spark):
 EDGES = [("r", "a"), ("r", "i"), ("a", "d"), ("i", "d"), ("c1", "c2"), ("c2", "c1"), ("r/x", "r")]
 
 
-@pytest.mark.parametrize("small", [1000, 0])
-def test_graph(spark, small):
+def test_rows_by_package_keep_their_order(spark):
+    rows = [dep("b", "y"), dep("a", "z"), dep("b", "x"), dep("a", "y"), dep("b", "y")]
+    d = Dependencies.of(spark, rows)
+    assert [(r["package_id"], r["import_path"]) for r in d.rows_by_source_package().collect()] == [("a", "z"), ("a", "y"), ("b", "y"), ("b", "x"), ("b", "y")]
+    assert [(r["import_path"], r["package_id"]) for r in d.rows_by_target_package().collect()] == [("x", "b"), ("y", "b"), ("y", "a"), ("y", "b"), ("z", "a")]
+    assert [tuple(r) for r in d.targets_by_source_package().collect()] == [("a", "y", 1), ("a", "z", 1), ("b", "x", 1), ("b", "y", 2)]
+
+
+def test_graph(spark):
     d = Dependencies.of(spark, [dep(a, b, within=True) for a, b in EDGES + EDGES[:1]] + [dep("s", "fmt")])
-    g = PackageGraph.of(d, small)
+    g = PackageGraph.of(d)
     ids = lambda df: [r["id"] for r in df.collect()]
     assert ids(g.nodes()) == ["a", "c1", "c2", "d", "i", "r", "r/x"]
     assert ids(g.direct_dependencies("r")) == ["a", "i"] and ids(g.direct_dependencies()) == [] and ids(g.direct_dependencies("d")) == []
