@@ -13,7 +13,7 @@ from codestrata.operators.graph import PackageGraph
 from codestrata.operators.relations import Packages, Relation
 from codestrata.operators.tree import tree_nodes
 
-from . import virtual
+from . import golden, virtual
 from .rules import Rule
 from .workspace import Workspace
 
@@ -112,6 +112,9 @@ _add("unique_targets", lambda spark, sf: _deps(spark, sf).unique_targets(), _wit
 _add("unique_sources", lambda spark, sf: _deps(spark, sf).unique_source_packages(), _with("dependencies", "SELECT DISTINCT package_id FROM dependencies"))
 _add("group_by_source", lambda spark, sf: _deps(spark, sf).group_by_source_package().withColumn("targets", F.array_join("targets", ",")), _with("dependencies", "SELECT package_id, count(*) AS n, string_agg(DISTINCT import_path, ',' ORDER BY import_path) AS targets FROM dependencies GROUP BY package_id"))
 _add("group_by_target", lambda spark, sf: _deps(spark, sf).group_by_target_package().withColumn("sources", F.array_join("sources", ",")), _with("dependencies", "SELECT import_path, count(*) AS n, string_agg(DISTINCT package_id, ',' ORDER BY package_id) AS sources FROM dependencies GROUP BY import_path"))
+_add("rows_by_source", lambda spark, sf: _deps(spark, sf).rows_by_source_package().select("package_id", "ord", "filename", "import_path", "match"), _with("dependencies", "SELECT package_id, ord, filename, import_path, match FROM dependencies"))
+_add("rows_by_target", lambda spark, sf: _deps(spark, sf).rows_by_target_package().select("import_path", "ord", "filename", "package_id", "match"), _with("dependencies", "SELECT import_path, ord, filename, package_id, match FROM dependencies"))
+_add("targets_by_source", lambda spark, sf: _deps(spark, sf).targets_by_source_package(), _with("dependencies", "SELECT package_id, import_path, count(*) AS n FROM dependencies GROUP BY 1, 2"))
 _add("reverse_lookup", lambda spark, sf: _deps(spark, sf).depend_on(f"{APP}/domain/p24").unique_source_packages(), _with("dependencies", f"SELECT DISTINCT package_id FROM dependencies WHERE import_path = '{APP}/domain/p24'"))
 _add("packages_group_by", lambda spark, sf: virtual.workspace(spark, sf).packages.group_by(lambda c: F.when(c.id.contains("/domain/"), "").otherwise(F.split(c.id, "/")[2])).withColumn("packages", F.array_join("packages", ",")), _with("packages", "SELECT string_split(id, '/')[3] AS key, string_agg(id, ',' ORDER BY ord, id) AS packages FROM packages WHERE NOT contains(id, '/domain/') GROUP BY 1"))
 
@@ -164,14 +167,11 @@ def _attached_packages(spark: SparkSession, sf: str) -> DataFrame:
 
 _add("packages_with_dependencies", _attached_packages, _with("dependencies", "SELECT id, count(d.ord) AS n, coalesce(string_agg(DISTINCT import_path, ',' ORDER BY import_path), '') AS imports FROM packages p LEFT JOIN dependencies d ON d.package_id = id GROUP BY 1"))
 
-#: The graph is thinned out: whole, it is so dense that everything reaches everything.
-THIN = "event_type = 'error' AND ord % 20 = 0"
-GRAPH = f"{virtual.DUCK_IMPORTS}, edges AS (SELECT DISTINCT package_id AS src, import_path AS dst FROM dependencies WHERE within_workspace AND {THIN})"
+GRAPH = f"{virtual.DUCK_IMPORTS}, edges AS (SELECT DISTINCT package_id AS src, import_path AS dst FROM dependencies WHERE within_workspace)"
 
 
 def _graph(spark: SparkSession, sf: str) -> PackageGraph:
-    deps = _deps(spark, sf)
-    return PackageGraph.of(deps.where(F.expr(THIN)))
+    return PackageGraph.of(_deps(spark, sf))
 
 
 def _reach(patterns: str) -> str:
@@ -184,11 +184,7 @@ _add("graph_nodes", lambda spark, sf: _graph(spark, sf).nodes(), f"WITH {GRAPH}
 _add("graph_direct", lambda spark, sf: _graph(spark, sf).direct_dependencies(DOMAIN), f"WITH {GRAPH} SELECT DISTINCT dst AS id FROM edges WHERE {_like('src', DOMAIN)}")
 _add("graph_importers", lambda spark, sf: _graph(spark, sf).importers(INFRA), f"WITH {GRAPH} SELECT DISTINCT src AS id FROM edges WHERE {_like('dst', INFRA)}")
 _add("graph_transitive", lambda spark, sf: _graph(spark, sf).transitive_dependencies(DOMAIN), _reach(_like("src", DOMAIN)) + " SELECT id FROM r")
-_add(
-    "graph_transitive_distributed",
-    lambda spark, sf: PackageGraph(_graph(spark, sf).edges, small=0).transitive_dependencies(UI),
-    _reach(_like("src", UI)) + " SELECT id FROM r",
-)
+_add("graph_transitive_ui", lambda spark, sf: _graph(spark, sf).transitive_dependencies(UI), _reach(_like("src", UI)) + " SELECT id FROM r")
 _add(
     "graph_transitively_reaches",
     lambda spark, sf: spark.createDataFrame([(_graph(spark, sf).transitively_reaches([DOMAIN], [UI]),)], "reaches boolean"),
@@ -235,19 +231,9 @@ def _should_exist(spark: SparkSession, sf: str) -> DataFrame:
 
 _add("should_exist", _should_exist, _with("packages", " UNION ALL ".join(f"SELECT '{p}' AS pattern, count(*) > 0 AS holds FROM packages WHERE {_like('id', p)}" for p in (DOMAIN, f"{APP}/nowhere/..."))))
 
-#: The graph queries again, over all dependencies and with SQL of their own: those above keep THIN, as their SQL does.
-WHOLE = f"{virtual.DUCK_IMPORTS}, edges AS (SELECT DISTINCT package_id AS src, import_path AS dst FROM dependencies WHERE within_workspace)"
-WHOLE_GRAPH: dict[str, Callable[[PackageGraph], DataFrame]] = {
-    "nodes": lambda g: g.nodes(),
-    "direct": lambda g: g.direct_dependencies(DOMAIN),
-    "importers": lambda g: g.importers(INFRA),
-    "transitive": lambda g: g.transitive_dependencies(DOMAIN),
-    "transitive_distributed": lambda g: PackageGraph(g.edges, small=0).transitive_dependencies(UI),
-    "transitively_reaches": lambda g: g.edges.sparkSession.createDataFrame([(g.transitively_reaches([DOMAIN], [UI]),)], "reaches boolean"),
-    "directly_reaches": lambda g: g.edges.sparkSession.createDataFrame([(g.directly_reaches([DOMAIN], [UI]),)], "reaches boolean"),
-}
-for _r, _q in WHOLE_GRAPH.items():
-    _add(f"graph_whole_{_r}", lambda spark, sf, q=_q: q(PackageGraph.of(_deps(spark, sf))), ORACLES[f"graph_{_r}"].replace(GRAPH, WHOLE))
+
+QUERIES |= golden.QUERIES
+ORACLES |= golden.ORACLES
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -76,7 +76,7 @@ dependencies AS (
 ),
 files AS (
   SELECT min(ord) AS ord, package_id, any_value(package_name) AS package_name, filename, 'file' AS kind, 'file package ' || any_value(package_name) AS match, filename AS file_filename
-  FROM dependencies WHERE NOT (ends_with(filename, '_test.go') AND s % 3 = 0) GROUP BY package_id, filename
+  FROM dependencies GROUP BY package_id, filename
 ),
 packages AS (
   SELECT min(ord) AS ord, package_id, package_id AS id, any_value(package_name) AS name, list(file_filename ORDER BY file_filename) AS files FROM files GROUP BY package_id
@@ -84,8 +84,7 @@ packages AS (
 
 
 def files(dependencies: DataFrame) -> DataFrame:
-    kept = dependencies.where("NOT (endswith(filename, '_test.go') AND s % 3 = 0)")
-    made = kept.groupBy("package_id", "filename").agg(F.min("ord").alias("ord"), F.first("package_name").alias("package_name"))
+    made = dependencies.groupBy("package_id", "filename").agg(F.min("ord").alias("ord"), F.first("package_name").alias("package_name"))
     return made.selectExpr("ord", "package_id", "package_name", "filename", "1 AS line", "1 AS col", "'file' AS kind", "'file package ' || package_name AS match", "filename AS file_filename")
 
 

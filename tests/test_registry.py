@@ -9,7 +9,7 @@ import pytest
 from codestrata.plans import registry, virtual
 
 TABLES = "/root/testdata/sf0.001"
-SAMPLE = [n for k, n in enumerate(registry.QUERIES) if k % 5 == 0 or n.startswith(("graph", "tree", "rule", "group", "module", "format", "should"))]
+SAMPLE = [n for k, n in enumerate(registry.QUERIES) if k % 5 == 0 or n.startswith(("graph", "tree", "rule", "group", "module", "format", "should", "rows", "targets", "scan"))]
 
 
 @pytest.fixture(scope="module")
@@ -44,4 +44,4 @@ def test_flagship(spark):
 def test_whole_graph_loses_no_edge(spark):
     deps = virtual.imports(spark, TABLES).where("within_workspace")
     want = {r[0] for r in deps.select("package_id").union(deps.select("import_path")).distinct().collect()}
-    assert {r["id"] for r in registry.QUERIES["graph_whole_nodes"](spark, TABLES).collect()} == want
+    assert {r["id"] for r in registry.QUERIES["graph_nodes"](spark, TABLES).collect()} == want
