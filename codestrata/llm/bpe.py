@@ -3,8 +3,9 @@
 Some pairs of neighbouring bytes occur inside no token of the vocabulary. No merge can ever join
 across such a pair, so it is a *certain cut*: the fragments on both sides encode independently and
 their ids are concatenated. A 256 x 256 table of the pairs that do occur, built from the vocabulary,
-finds the cuts of a whole text with one vectorised lookup. Fragments are short and recur, so a worker
-remembers the ids of those seen lately, packed, in a table of bounded size and merges only the others. The
+finds the cuts of many texts with one vectorised lookup. Fragments are short and recur, so a worker
+remembers the ids of those of up to 16 bytes in a hash table of numpy arrays: all fragments of some texts are
+looked up together, and only those not there are merged. A full table is emptied. The
 merges of a fragment run in a compiled library where the vocabulary's ranks are its ids, else here.
 
 A cut is used only where the pre-tokeniser cannot look across it either: never inside a character,
@@ -39,9 +40,12 @@ VOCABULARY = "byte_bpe_50k.json"
 #: The pre-tokeniser's pattern, a fixed value of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WINDOW = 1 << 18
-#: Fragments remembered, in each of two generations.
-REMEMBERED = 1 << 17
-LONGEST_REMEMBERED = 48
+#: Bytes of text that are cut and looked up together.
+GROUP = 1 << 19
+#: Fragments of up to KEY bytes are remembered, in a table of 2**SLOTS places (25 MB) that is emptied when it is 60 % full.
+KEY = 16
+SLOTS = 20
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -85,8 +89,7 @@ class ForcedBoundaryBPE:
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cuts = self._certain_cuts()
         self._packed = [i.to_bytes(4, "little") for i in range(size)]
-        self._known: dict[bytes, bytes] = {}
-        self._older: dict[bytes, bytes] = {}
+        self._forget()
         made = [self.ids[left + right] for left, right in self.ranks]
         self._ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={}) if made == sorted(made) else None
 
@@ -144,8 +147,91 @@ class ForcedBoundaryBPE:
         at = np.flatnonzero(self.cuts[(b[:-1].astype(np.uint16) << 8) | b[1:]]) + 1
         return np.insert(b, at, 0xFF).tobytes().split(b"\xff")  # 0xFF is in no UTF-8 text
 
-    def _plain(self, text: bytes) -> list[bytes]:
-        out: list[bytes] = []
+    def _forget(self) -> None:
+        n = 1 << SLOTS
+        self._key = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self._length = np.zeros(n, np.uint8)  # 0: a free place
+        self._at, self._count = np.zeros(n, np.int32), np.zeros(n, np.uint8)
+        self._pool, self._used, self._held = np.zeros(1 << 16, "<u4"), 0, 0
+
+    def _pooled(self, fragments: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Merges the fragments: where the ids of each stand in the pool, which grows by doubling, and how many they are."""
+        made = [self.fragment(f) for f in fragments]
+        count = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        first, self._used = self._used, self._used + int(count.sum())
+        while self._used > len(self._pool):
+            self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
+        self._pool[first : self._used] = np.frombuffer(b"".join(made), "<u4")
+        return first + np.cumsum(count) - count, count
+
+    def _slots(self, low: np.ndarray, high: np.ndarray, length: np.ndarray, new: np.ndarray | None = None) -> np.ndarray:
+        """The place in the table of each key; -1 if it has none or, of keys that are all new, the place it gets."""
+        h = (low * np.uint64(0x9E3779B97F4A7C15)) ^ ((high + length.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F))
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        place = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
+        found = np.full(len(low), -1, np.int64)
+        todo = np.arange(len(low))
+        while len(todo):
+            s = place[todo]
+            taken = self._length[s]
+            if new is None:
+                same = (taken == length[todo]) & (self._key[0][s] == low[todo]) & (self._key[1][s] == high[todo])
+                found[todo[same]] = s[same]
+                todo = todo[(taken > 0) & ~same]
+            else:
+                free = np.flatnonzero(taken == 0)
+                _, first = np.unique(s[free], return_index=True)
+                got = todo[free[first]]
+                mine = place[got]
+                self._length[mine], self._key[0][mine], self._key[1][mine] = length[got], low[got], high[got]
+                found[got] = mine
+                todo = todo[found[todo] < 0]
+            place[todo] = (place[todo] + 1) & ((1 << SLOTS) - 1)
+        return found
+
+    def _group(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of each piece; a piece is a whole text or a window of it, and none is empty."""
+        data = b"".join(pieces)
+        n = len(data)
+        b = np.frombuffer(data + bytes(32), np.uint8)
+        size = np.array([len(p) for p in pieces])
+        begin = np.cumsum(size) - size
+        mark = np.zeros(n, bool)
+        mark[1:] = self.cuts[(b[: n - 1].astype(np.uint16) << 8) | b[1:n]]
+        mark[begin] = True
+        at = np.flatnonzero(mark)
+        length = np.diff(at, append=n)
+        words = np.empty((n // 8 + 2, 8), "<u8")  # flat, the eight bytes from each place on
+        for r in range(8):
+            words[:, r] = b[r : r + 8 * len(words)].view("<u8")
+        flat = words.reshape(-1)
+        low, high = flat[at] & _MASK[np.minimum(length, 8)], flat[at + 8] & _MASK[np.clip(length - 8, 0, 8)]
+        short = np.flatnonzero(length <= KEY)
+        slot = np.full(len(at), -1, np.int64)
+        slot[short] = self._slots(low[short], high[short], length[short])
+        missing = short[slot[short] < 0]
+        if len(missing):
+            fresh: dict[bytes, int] = {}
+            for k, i, m in zip(missing.tolist(), at[missing].tolist(), length[missing].tolist()):
+                fresh.setdefault(data[i : i + m], k)
+            if self._held + len(fresh) > 0.6 * (1 << SLOTS) and self._held:
+                self._forget()
+                return self._group(pieces)
+            first = np.fromiter(fresh.values(), np.int64)
+            place = self._slots(low[first], high[first], length[first], first)
+            self._at[place], self._count[place] = self._pooled(fresh)
+            self._held += len(fresh)
+            slot[missing] = self._slots(low[missing], high[missing], length[missing])
+        start, count = self._at[slot].astype(np.int64), self._count[slot].astype(np.int64)
+        long, kept = np.flatnonzero(length > KEY), self._used
+        if len(long):  # they stay in the pool only while they are read
+            start[long], count[long] = self._pooled(data[i : i + m] for i, m in zip(at[long].tolist(), length[long].tolist()))
+        ends = np.cumsum(count)
+        out = self._pool[np.repeat(start - (ends - count), count) + np.arange(ends[-1])]
+        self._used = kept
+        return np.split(out, (ends - count)[np.searchsorted(at, begin[1:])])
+
+    def _windows(self, text: bytes) -> Iterator[bytes]:
         start = 0
         while start < len(text):
             end = start + WINDOW
@@ -156,36 +242,45 @@ class ForcedBoundaryBPE:
                     end = start + int(at[-1]) + 1
                     break
                 end += WINDOW
-            frags = self.fragments(text[start:end])
-            found = list(map(self._known.get, frags))
-            for k in [k for k, ids in enumerate(found) if ids is None]:
-                frag = frags[k]
-                ids = self._known.get(frag) or self._older.get(frag) or self.fragment(frag)
-                if len(frag) <= LONGEST_REMEMBERED:
-                    if len(self._known) >= REMEMBERED:
-                        self._known, self._older = {}, self._known
-                    self._known[frag] = ids
-                found[k] = ids
-            out += found
+            yield text[start:end]
             start = end
-        return out
-
-    def packed(self, text: str | None) -> bytes:
-        """The ids of a text, as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        if self.special_pattern is None or not any(s in text for s in self.special):
-            return b"".join(self._plain(text.encode("utf-8", "replace")))
-        out: list[bytes] = []
-        for part in self.special_pattern.split(text):
-            if part in self.special:
-                out.append(self._packed[self.special[part]])
-            elif part:
-                out += self._plain(part.encode("utf-8", "replace"))
-        return b"".join(out)
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """The ids of each text, as 32-bit integers."""
+        out: list[list[np.ndarray]] = []
+        pieces: list[bytes] = []
+        owners: list[int] = []
+        size = 0
+
+        def run() -> None:
+            for i, ids in zip(owners, self._group(pieces) if pieces else ()):
+                out[i].append(ids)
+            pieces.clear()
+            owners.clear()
+
+        for i, text in enumerate(texts):
+            out.append([])
+            if not text:
+                continue
+            parts = [text] if self.special_pattern is None or not any(s in text for s in self.special) else self.special_pattern.split(text)
+            for part in parts:
+                if len(parts) > 1 and part in self.special:
+                    run()  # in order
+                    size = 0
+                    out[i].append(np.array([self.special[part]], "<u4"))
+                    continue
+                for piece in self._windows(part.encode("utf-8", "replace")):
+                    pieces.append(piece)
+                    owners.append(i)
+                    size += len(piece)
+                    if size >= GROUP:
+                        run()
+                        size = 0
+        run()
+        return [found[0] if len(found) == 1 else np.concatenate([np.zeros(0, "<u4"), *found]) for found in out]
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.packed(text), "<u4").tolist()
+        return self.encode_all([text])[0].tolist()
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         size = len(self.tokens)
@@ -223,7 +318,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", vocabulary: st
     def ids_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = encoder(vocabulary)
         for batch in texts:
-            yield pd.Series([bpe.encode(t) for t in batch], dtype=object)
+            yield pd.Series([ids.astype(np.int32) for ids in bpe.encode_all(batch)], dtype=object)
 
     return docs.withColumn(out, F.pandas_udf(ids_of, "array<int>")(F.col(f"`{text}`")))
 
@@ -251,8 +346,7 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary
         bpe = encoder(vocabulary)
         for batch in texts:
             n, a, b = [], [], []
-            for t in batch:
-                ids = bpe.encode(t)
+            for ids in map(np.ndarray.tolist, bpe.encode_all(batch)):
                 n.append(len(ids))
                 a.append(hashlib.sha256(bpe.decimals(ids).encode()).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())

@@ -147,25 +147,25 @@ def write(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", v
     """Encode documents in ascending order of their key, those without one first, each followed by the end id, and write the shards to path."""
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, part, end = encoder(vocabulary), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
+        bpe, part, end = encoder(vocabulary), TaskContext.get().partitionId(), np.array([end_id], "<u4")
         shard, base, size, missing = 0, 0, 0, 0
         keys: list[int] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
 
         def image() -> pd.DataFrame:
             nonlocal shard, base, size, missing, keys, held
-            ends = np.cumsum([len(x) // 4 for x in held])
-            made = pack(np.frombuffer(b"".join(held), "<u4"), np.array(keys, np.int64), ends, missing)
+            ends = np.cumsum([len(x) + 1 for x in held])
+            made = pack(np.concatenate([x for ids in held for x in (ids, end)]), np.array(keys, np.int64), ends, missing)
             row = pd.DataFrame({"part": [part], "shard": [shard], "base": [base], "n_docs": [len(keys)], "n_ids": [size], "image": [made]})
             shard, base, size, missing, keys, held = shard + 1, base + size, 0, 0, [], []
             return row
 
         for batch in batches:
-            for none, k, t in zip(batch["none"], batch["k"], batch["t"]):
-                held.append(bpe.packed(t) + end)
+            for none, k, ids in zip(batch["none"], batch["k"], bpe.encode_all(batch["t"])):
+                held.append(ids)
                 keys.append(k)
                 missing += none
-                size += len(held[-1]) // 4
+                size += len(ids) + 1
                 if size >= SHARD_IDS:
                     yield image()
         if keys:

@@ -65,6 +65,18 @@ def test_windows_cut_only_where_it_is_certain(monkeypatch, library):
         assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_a_full_table_changes_no_ids(monkeypatch, library):
+    monkeypatch.setattr(bpe, "SLOTS", 11)  # so that it is full again and again, and places collide
+    monkeypatch.setattr(bpe, "GROUP", 300)
+    own = bpe.ForcedBoundaryBPE(bpe.vocabulary_path())
+    r = random.Random(22)
+    texts = some_texts(500, 30, 3) + ["".join(r.choices("abcdefghijklmnop \x00", k=r.randint(0, 90))) for _ in range(1500)] + [None, "", "a\x00", "a\x00\x00", "a"]
+    for _ in range(2):
+        found = own.encode_all(texts)
+        assert [f.tolist() for f in found] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert own._held <= 0.6 * 2048 + 300
+
+
 def test_fragments_join_to_the_text():
     own = bpe.encoder(bpe.VOCABULARY)
     for text in some_texts(200):
