@@ -11,7 +11,8 @@ The loss mask covers each assistant content, as [start, end) in code points of t
 
 A conversation that spans batches gives several parts, in order, so memory does not grow with its
 length. Null texts and roles are empty. A null conv_id is a conversation of its own. Turns are ordered
-by turn (null first), then role, then text; repeated rows are turns of their own. Other columns are ignored.
+by turn (null first), then role, then text; repeated rows are turns of their own. Empty tables give no rows.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ n_repeat_words counts the words inside 8-word windows found at least twice in th
 compared by a 64-bit hash of their words' hashes: array_distinct finds, in one pass, the texts that repeat
 nothing, and only the others are sorted. All steps are linear or n log n in the words of one text.
 
-A null or empty text has no words, fails the base and is not kept. Repeated rows are judged alike;
-other columns are ignored by ``judge`` and kept by ``keep``.
+A null or empty text has no words, fails the base and is not kept. Long texts are judged whole. Repeated rows
+are judged alike, each for itself; a null doc_id stays null. Empty tables give no rows. Other columns, whatever
+their names, are ignored by ``judge`` and kept by ``keep``.
 """
 
 from __future__ import annotations
